@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value that may hold objects of this package, which executors need not have installed."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held = [value]
+
+    def __getstate__(self):
+        return {"sent": self.sent, "held": []}
+
+    @property
+    def value(self):
+        if not self.held:
+            self.held.append(pickle.loads(self.sent.value))
+        return self.held[0]
+
+
 def hash_sample(df: DataFrame, key: Column, seed: int, share: float) -> DataFrame:
     """About the given share of rows, the same ones on every run: those whose hashed key is small."""
     if share >= 1:
