@@ -1 +1 @@
-"""plans of the engine."""
+"""Whole analyses, and the queries over the supplied tables."""

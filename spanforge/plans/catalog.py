@@ -1,6 +1,476 @@
-"""Queries of the engine's own operators over the supplied tables, each with the SQL that gives the same rows."""
+"""Queries of the engine's own operators over the supplied tables, each with SQL that gives the same rows.
+
+Orders stand for features on five chromosomes and two strands, line items for points and blocks: a line's block starts on its ship day and is as long as its quantity.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.functions import cigar, coerce, orient, text
+from spanforge.operators import classify, intervals, layout, profiles, sets, stats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Days that a bin holds: about the median length of the features and blocks.
+DAYS = 32
+KEYS = ("chrom", "strand")
+LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _day(col: Column) -> Column:
+    return (F.datediff(col.cast("date"), F.lit("1995-01-01").cast("date")) + 1).cast("long")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    start = _day(F.col("o_orderdate"))
+    return orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("chrom"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("s"), (start + F.col("o_custkey") % 20 + 2).alias("e"), F.col("o_totalprice").alias("score"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    day = _day(F.col("l_shipdate"))
+    sample = F.concat(F.col("l_returnflag"), F.lit("_"), (F.col("l_linenumber") % 3 + 1).cast("string"))
+    return lines.select(*LINE, (F.col("l_suppkey") % 5).alias("chrom"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), day.alias("p"), (day + F.col("l_quantity").cast("long") - 1).alias("q"), F.col("l_quantity").cast("long").alias("n"), F.col("l_returnflag").alias("condition"), sample.alias("sample"))
+
+
+FEAT = """feat AS (
+  SELECT o_orderkey AS id, CAST(o_custkey % 5 AS BIGINT) AS chrom, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+    CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 AS BIGINT) AS s,
+    CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 20 + 2 AS BIGINT) AS e, o_totalprice AS score
+  FROM orders WHERE o_orderpriority = '1-URGENT')"""
+BLOCK = """block AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_suppkey % 5 AS BIGINT) AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand,
+    CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS BIGINT) AS p,
+    CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS BIGINT) AS q,
+    CAST(l_quantity AS BIGINT) AS n, l_returnflag AS condition, l_returnflag || '_' || (l_linenumber % 3 + 1) AS sample
+  FROM lineitem)"""
+BOTH = f"WITH {FEAT}, {BLOCK}"
+#: Offset of position {0} from a feature's three-prime end.
+OFFSET = "CASE WHEN strand = '+' THEN {0} - e ELSE s - {0} END"
+
+
+def _right(df: DataFrame) -> DataFrame:
+    return df.select(*KEYS, "id", "s", "e", "score")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).select(*LINE, *KEYS, "p", "q", "condition", "sample")
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.point_join(_points(spark, sf_dir), _right(features(spark, sf_dir)), KEYS, "p", "s", "e", DAYS)
+
+
+def _offset(position: str = "p") -> Column:
+    return orient.offset(F.col(position), orient.three_prime(F.col("s"), F.col("e"), F.col("strand")), F.col("strand"))
+
+
+@query(
+    f"""{BOTH}, hit AS (SELECT id, {OFFSET.format("p")} AS o FROM block JOIN feat USING (chrom, strand) WHERE p BETWEEN s AND e)
+SELECT id, CAST(count(*) AS BIGINT) AS hits, CAST(count(*) FILTER (o = 0) AS BIGINT) AS exact, CAST(count(*) FILTER (o = -1) AS BIGINT) AS next_to,
+  CAST(sum(o) AS BIGINT) AS offset_sum, CAST(min(o) AS BIGINT) AS first_offset FROM hit GROUP BY id"""
+)
+def q_point_in_interval(spark, sf_dir):
+    hits = _hits(spark, sf_dir).select("id", _offset().alias("o"))
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("o") == 0).alias("exact"), F.count_if(F.col("o") == -1).alias("next_to"), F.sum("o").alias("offset_sum"), F.min("o").alias("first_offset"))
+
+
+@query(
+    f"""{BOTH}, counted AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, count(id) AS h FROM block b LEFT JOIN feat f ON b.chrom = f.chrom AND b.strand = f.strand AND p BETWEEN s AND e GROUP BY ALL)
+SELECT CASE WHEN h = 0 THEN 'none' WHEN h = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome, CAST(count(*) AS BIGINT) AS points, CAST(sum(h) AS BIGINT) AS hits FROM counted GROUP BY 1"""
+)
+def q_hit_audit(spark, sf_dir):
+    points = _points(spark, sf_dir).select(*LINE, *KEYS, "p")
+    # Several rows may be the same line; it is one point.
+    lines = points.groupBy(*LINE).agg(F.count(F.lit(1)).alias("rows"))
+    audited = intervals.hit_audit(lines, _hits(spark, sf_dir), LINE)
+    return audited.groupBy("outcome").agg(F.count(F.lit(1)).alias("points"), F.sum("n_hits").alias("hits"))
+
+
+@query(f"""{BOTH} SELECT {OFFSET.format("p")} AS offset_nt, CAST(count(*) AS BIGINT) AS points, CAST(count(DISTINCT id) AS BIGINT) AS features FROM block JOIN feat USING (chrom, strand) WHERE {OFFSET.format("p")} BETWEEN -10 AND 1 GROUP BY 1""")
+def q_band_anchor(spark, sf_dir):
+    anchors = features(spark, sf_dir).select(*KEYS, "id", "s", "e", orient.three_prime(F.col("s"), F.col("e"), F.col("strand")).alias("anchor")).withColumn("side", F.col("strand"))
+    found = intervals.band_join(_points(spark, sf_dir), anchors, KEYS, "p", "anchor", "side", 10, 1)
+    return found.groupBy(_offset().alias("offset_nt")).agg(F.count(F.lit(1)).alias("points"), F.count_distinct("id").alias("features"))
+
+
+@query(
+    f"""{BOTH}, frag AS (SELECT *, CASE WHEN strand = '+' THEN p ELSE q END AS five, CASE WHEN strand = '+' THEN q ELSE p END AS three FROM block),
+hit AS (SELECT frag.chrom, strand, {OFFSET.format("three")} AS o FROM frag JOIN feat USING (chrom, strand) WHERE five BETWEEN s AND e)
+SELECT chrom, strand, CAST(count(*) AS BIGINT) AS spanning, CAST(count(*) FILTER (o >= 5) AS BIGINT) AS downstream, CAST(sum(o) AS BIGINT) AS offset_sum FROM hit WHERE o >= 0 GROUP BY 1, 2"""
+)
+def q_span_residual(spark, sf_dir):
+    plus = F.col("strand") == "+"
+    fragments = _points(spark, sf_dir).withColumn("five", F.when(plus, F.col("p")).otherwise(F.col("q"))).withColumn("three", F.when(plus, F.col("q")).otherwise(F.col("p")))
+    found = intervals.point_join(fragments, _right(features(spark, sf_dir)), KEYS, "five", "s", "e", DAYS, _offset("three") >= 0)
+    return found.withColumn("o", _offset("three")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("spanning"), F.count_if(F.col("o") >= 5).alias("downstream"), F.sum("o").alias("offset_sum"))
+
+
+@query(
+    f"""{BOTH} SELECT id, CAST(count(*) AS BIGINT) AS overlaps, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders, CAST(sum(least(q, e) - greatest(p, s) + 1) AS BIGINT) AS bases
+FROM block JOIN feat USING (chrom, strand) WHERE p <= e AND s <= q GROUP BY id"""
+)
+def q_interval_overlap(spark, sf_dir):
+    pairs = intervals.overlap_join(_points(spark, sf_dir), _right(features(spark, sf_dir)), KEYS, ("p", "q"), ("s", "e"), DAYS)
+    low, high = orient.clip(F.col("p"), F.col("q"), F.col("s"), F.col("e"))
+    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("overlaps"), F.count_distinct("l_orderkey").alias("orders"), F.sum(high - low + 1).alias("bases"))
+
+
+@query(
+    f"""{BOTH}, kinds AS (SELECT *, CASE CAST(id % 6 AS INTEGER) WHEN 0 THEN 'mito' WHEN 1 THEN 'snoRNA' WHEN 2 THEN 'miRNA' WHEN 3 THEN 'lncRNA' WHEN 4 THEN 'intron' ELSE 'genic' END AS kind FROM feat),
+seen AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM block),
+per AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, bool_or(kind = 'mito') AS m, bool_or(kind = 'snoRNA') AS sn, bool_or(kind = 'miRNA') AS mi, bool_or(kind = 'lncRNA') AS ln, bool_or(kind = 'intron') AS i
+  FROM block b JOIN kinds k ON b.chrom = k.chrom AND p <= e AND s <= q GROUP BY ALL)
+SELECT CASE WHEN m IS NULL THEN 'intergenic' WHEN m THEN 'mito' WHEN sn AND mi THEN 'ambiguous' WHEN sn THEN 'snoRNA' WHEN mi THEN 'miRNA' WHEN ln THEN 'lncRNA' WHEN i THEN 'intron' ELSE 'other_annotated_genic' END AS category, CAST(count(*) AS BIGINT) AS lines
+FROM seen LEFT JOIN per USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) GROUP BY 1"""
+)
+def q_category_priority(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("mito", "snoRNA", "miRNA", "lncRNA", "intron", "genic")])
+    kinds = features(spark, sf_dir).select("chrom", "s", "e", F.get(names, (F.col("id") % 6).cast("int")).alias("kind"))
+    # A category is overlapped or not, so its intervals may be merged first: a third of the rows.
+    merged = intervals.merge_spans(kinds, ["chrom", "kind"], "s", "e")
+    lines = _points(spark, sf_dir).select(*LINE, "chrom", "p", "q")
+    pairs = intervals.overlap_join(lines, merged, ["chrom"], ("p", "q"), ("s", "e"), DAYS)
+    found = pairs.groupBy(*LINE).agg(F.collect_set("kind").alias("kinds"))
+    all_lines = lines.select(*LINE).distinct().join(found, list(LINE), "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    rest = F.when(F.size("kinds") > 0, "other_annotated_genic").otherwise("intergenic")
+    category = classify.by_priority(F.col("kinds"), [["mito"], ["snoRNA", "miRNA"], ["lncRNA"], ["intron"]], rest)
+    return all_lines.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""{BOTH} SELECT id, CAST(count(*) AS BIGINT) AS held, CAST(sum(n) AS BIGINT) AS bases FROM block JOIN feat USING (chrom, strand) WHERE s - 3 <= p AND e + 3 >= q GROUP BY id""")
+def q_containment_stretch(spark, sf_dir):
+    inner = blocks(spark, sf_dir).select(*KEYS, "p", "q", "n")
+    held = intervals.containment_join(inner, _right(features(spark, sf_dir)), KEYS, ("p", "q"), ("s", "e"), DAYS, stretch=6)
+    return held.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("bases"))
+
+
+@query(f"""{BOTH} SELECT id, min(p) AS position FROM (SELECT DISTINCT chrom, p, l_orderkey FROM block WHERE n = 50) b JOIN feat USING (chrom) WHERE p BETWEEN s AND e GROUP BY id HAVING count(*) = 1""")
+def q_strand_blind_single(spark, sf_dir):
+    points = blocks(spark, sf_dir).where("n = 50").select("chrom", "p", "l_orderkey").distinct()
+    found = intervals.point_join(points, features(spark, sf_dir).select("chrom", "id", "s", "e"), ["chrom"], "p", "s", "e", DAYS)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("position")).where("n = 1").drop("n")
+
+
+_MERGED = """, flagged AS (SELECT {keys}, {s} AS s, {e} AS e, CASE WHEN {s} <= max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS fresh FROM {source}),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
+merged AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM numbered GROUP BY {keys}, run)"""
+
+
+@query(f"WITH {FEAT}, few AS (SELECT * FROM feat WHERE id % 8 = 0){_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='few')} SELECT chrom, strand, s, e FROM merged")
+def q_merge_spans(spark, sf_dir):
+    return intervals.merge_spans(features(spark, sf_dir).where("id % 8 = 0"), KEYS, "s", "e")
+
+
+@query(f"WITH {BLOCK}{_MERGED.format(keys='l_orderkey', s='p', e='q', gap=0, source='block')} SELECT l_orderkey, s AS p, e AS q FROM merged")
+def q_merge_half_open(spark, sf_dir):
+    return intervals.merge_spans(blocks(spark, sf_dir), ["l_orderkey"], "p", "q", gap=0)
+
+
+@query(
+    f"""WITH {BLOCK}{_MERGED.format(keys='l_orderkey', s='p', e='q', gap=1, source='block')},
+led AS (SELECT l_orderkey, row_number() OVER w AS number, e + 1 AS p, lead(s) OVER w - 1 AS q FROM merged WINDOW w AS (PARTITION BY l_orderkey ORDER BY s, e))
+SELECT l_orderkey, CAST(number AS BIGINT) AS number, p, q FROM led WHERE q IS NOT NULL AND p <= q"""
+)
+def q_gaps(spark, sf_dir):
+    merged = intervals.merge_spans(blocks(spark, sf_dir), ["l_orderkey"], "p", "q")
+    found = intervals.gaps(merged, ["l_orderkey"], "p", "q")
+    return found.withColumn("number", F.col("number").cast("long"))
+
+
+@query(
+    f"""WITH {FEAT}, few AS (SELECT * FROM feat WHERE id % 8 = 0){_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='few')},
+whole AS (SELECT chrom, strand, 1 AS ws, 2600 AS we FROM few GROUP BY 1, 2),
+cut AS (SELECT chrom, strand, coalesce(lag(e) OVER w + 1, ws) AS a, s - 1 AS b FROM merged JOIN whole USING (chrom, strand) WINDOW w AS (PARTITION BY chrom, strand ORDER BY s)
+  UNION ALL SELECT chrom, strand, max(e) + 1, any_value(we) FROM merged JOIN whole USING (chrom, strand) GROUP BY 1, 2)
+SELECT chrom, strand, CAST(a AS BIGINT) AS s, CAST(b AS BIGINT) AS e FROM cut WHERE a <= b"""
+)
+def q_subtract(spark, sf_dir):
+    parts = features(spark, sf_dir).where("id % 8 = 0").select(*KEYS, "s", "e")
+    wholes = parts.select(*KEYS).distinct().select(*KEYS, F.lit(1).cast("long").alias("s"), F.lit(2600).cast("long").alias("e"))
+    return intervals.subtract(wholes, parts, KEYS, "s", "e")
+
+
+@query(f"""WITH {BLOCK} SELECT l_orderkey, p, q, CAST(greatest(p, 500) AS BIGINT) AS low, CAST(least(q, 520) AS BIGINT) AS high FROM block WHERE greatest(p, 500) <= least(q, 520)""")
+def q_clip(spark, sf_dir):
+    rows = blocks(spark, sf_dir).select("l_orderkey", "p", "q", F.col("p").alias("low"), F.col("q").alias("high"))
+    return intervals.clip_to(rows, "low", "high", F.lit(500).cast("long"), F.lit(520).cast("long"))
+
+
+_SAMPLES = "samples AS (SELECT sample, any_value(condition) AS condition, count(*) AS library FROM block GROUP BY sample)"
+
+
+def _samples(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("sample").agg(F.max("condition").alias("condition"), F.count(F.lit(1)).alias("library"))
+
+
+@query(
+    f"""{BOTH}, {_SAMPLES}, hit AS (SELECT sample, {OFFSET.format("p")} AS o FROM block JOIN feat USING (chrom, strand) WHERE p BETWEEN s AND e),
+counts AS (SELECT sample, o, count(*) AS c FROM hit GROUP BY 1, 2), grid AS (SELECT sample, condition, library, unnest(range(-30, 6)) AS o FROM samples)
+SELECT sample, condition, CAST(o AS INTEGER) AS offset_nt, CAST(coalesce(c, 0) AS BIGINT) AS read_count, round(coalesce(c, 0) * 1e6 / library, 6) AS cpm FROM grid LEFT JOIN counts USING (sample, o)"""
+)
+def q_dense_profile(spark, sf_dir):
+    counts = profiles.histogram(_hits(spark, sf_dir).withColumn("offset_nt", _offset()), ["sample"])
+    out = profiles.dense(counts, _samples(_points(spark, sf_dir)), ["sample"], ["read_count"], -30, 5)
+    return out.select("sample", "condition", "offset_nt", "read_count", F.round(coerce.cpm(F.col("read_count"), F.col("library")), 6).alias("cpm"))
+
+
+@query(
+    f"""WITH {BLOCK}, spots AS (SELECT sample, unnest(range(greatest(p, 100), least(q, 400) + 1)) AS x FROM block WHERE p <= 400 AND q >= 100)
+SELECT sample, CAST(x AS INTEGER) AS offset_nt, CAST(count(*) AS BIGINT) AS coverage_count FROM spots GROUP BY 1, 2"""
+)
+def q_diff_coverage(spark, sf_dir):
+    return profiles.range_coverage(blocks(spark, sf_dir), ["sample"], F.col("p"), F.col("q"), 100, 400)
+
+
+@query(
+    f"""WITH {BLOCK}, starts AS (SELECT sample, l_partkey, CAST(p % 61 - 30 AS BIGINT) AS o, count(*) AS c FROM block GROUP BY ALL), limits AS (SELECT l_partkey, CAST(l_partkey % 25 AS BIGINT) AS m FROM block GROUP BY 1),
+grid AS (SELECT unnest(range(-20, 11)) AS x)
+SELECT sample, CAST(x AS INTEGER) AS offset_nt, CAST(sum(c) AS BIGINT) AS coverage_count FROM starts JOIN limits USING (l_partkey) JOIN grid ON o <= x AND x <= m GROUP BY 1, 2"""
+)
+def q_start_to_coverage(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    starts = profiles.histogram(rows.withColumn("offset_nt", F.col("p") % 61 - 30), ["sample", "l_partkey"])
+    limits = rows.select("l_partkey").distinct().select("l_partkey", (F.col("l_partkey") % 25).alias("m"))
+    return profiles.starts_to_coverage(starts, ["l_partkey"], limits, "m", -20, 10, total_by=["sample"])
+
+
+@query(
+    f"""{BOTH}, hit AS (SELECT strand, greatest(p, s - 15) AS a, least(q, s + 15) AS b, s FROM block JOIN feat USING (chrom, strand) WHERE s BETWEEN p AND q),
+rel AS (SELECT strand, CASE WHEN strand = '+' THEN a - s ELSE -(b - s) END AS x, b - s AS y FROM hit), spots AS (SELECT strand, unnest(range(greatest(x, -15), least(y, 15) + 1)) AS o FROM rel WHERE greatest(x, -15) <= least(y, 15))
+SELECT strand, CAST(o AS INTEGER) AS offset_nt, CAST(count(*) AS BIGINT) AS score FROM spots GROUP BY 1, 2"""
+)
+def q_symmetric_minus(spark, sf_dir):
+    anchors = features(spark, sf_dir).select(*KEYS, "id", F.col("s").alias("anchor"))
+    reads = blocks(spark, sf_dir).select(*KEYS, "p", "q")
+    hits = intervals.point_join(anchors, reads, KEYS, "anchor", "p", "q", DAYS)
+    a, b = orient.clip(F.col("p"), F.col("q"), F.col("anchor") - 15, F.col("anchor") + 15)
+    first, last = orient.range_offsets_symmetric_minus(a, b, F.col("anchor"), F.col("strand"))
+    return profiles.range_coverage(hits, ["strand"], first, last, -15, 15, count="score")
+
+
+@query(
+    """WITH days AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d, event_id FROM events WHERE event_id % 5 = 0),
+flagged AS (SELECT *, CASE WHEN d - lag(d) OVER w = 1 THEN 0 ELSE 1 END AS f, row_number() OVER w AS i FROM days WINDOW w AS (PARTITION BY user_id ORDER BY d, event_id)),
+numbered AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY i) AS run FROM flagged), weighted AS (SELECT user_id, d, 1.0 / count(*) OVER (PARTITION BY user_id, run) AS w FROM numbered)
+SELECT user_id, d, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(w AS DOUBLE)), 6) AS weight FROM weighted GROUP BY 1, 2"""
+)
+def q_runs_weighted(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    days = events.select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("d"))
+    return intervals.runs(days, ["user_id"], "d").groupBy("user_id", "d").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("run_weight"), 6).alias("weight"))
+
+
+@query(
+    f"""{BOTH}, ranked AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, id, score, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY score DESC, abs({OFFSET.format("p")}), id) AS r
+FROM (SELECT DISTINCT * FROM block) JOIN feat USING (chrom, strand) WHERE p BETWEEN s AND e) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, id, round(score, 6) AS score FROM ranked WHERE r = 1"""
+)
+def q_best_per_group(spark, sf_dir):
+    best = sets.best_rows(_hits(spark, sf_dir), LINE, [F.col("score").desc(), F.abs(_offset()), F.col("id")])
+    return best.select(*LINE, "id", F.round("score", 6).alias("score"))
+
+
+_T = ", ".join(f"({i + 1}, {x})" for i, x in enumerate(stats.T_95))
+
+
+@query(
+    f"""WITH {BLOCK}, per AS (SELECT condition, sample, l_suppkey, CAST(count(*) AS DOUBLE) AS v FROM block GROUP BY 1, 2, 3), t(df, c) AS (VALUES {_T}),
+g AS (SELECT condition, l_suppkey, count(*) AS n, avg(v) AS m, coalesce(stddev_samp(v), 0.0) AS sd FROM per GROUP BY 1, 2)
+SELECT condition, l_suppkey, CAST(n AS BIGINT) AS replicate_count, round(m, 6) AS mean_v, round(sd, 6) AS sd_v, round(sd / sqrt(n), 6) AS sem_v, round(CASE WHEN n < 2 THEN 0 ELSE sd / sqrt(n) * coalesce(c, 1.96) END, 6) AS ci95_v FROM g LEFT JOIN t ON df = n - 1"""
+)
+def q_replicate_stats(spark, sf_dir):
+    per = blocks(spark, sf_dir).groupBy("condition", "sample", "l_suppkey").agg(F.count(F.lit(1)).alias("v"))
+    out = stats.replicate_summary(per, ["condition", "l_suppkey"], ["v"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[3:]})
+
+
+@query(
+    f"""WITH {BLOCK}, per AS (SELECT l_partkey, CAST(sum(n) FILTER (condition = 'N') AS BIGINT) AS r, CAST(coalesce(sum(n) FILTER (condition = 'R'), 0) AS BIGINT) AS q FROM block GROUP BY 1),
+ref AS (SELECT * FROM per WHERE r > 0), totals AS (SELECT least(1.0, CAST(sum(q) AS DOUBLE) / sum(coalesce(r, 0))) AS p FROM per), cuts AS (SELECT unnest(range(1, 100)) AS i, round(unnest(quantile_cont(CAST(r AS DOUBLE), [{", ".join(str(i / 100) for i in range(1, 100))}])), 9) AS c FROM ref)
+SELECT CAST(i AS INTEGER) AS percentile, round(c, 6) AS cutoff, CAST(count(*) AS BIGINT) AS selected, CAST(count(*) FILTER (q > 0) AS BIGINT) AS covered, CAST(sum(r) AS BIGINT) AS value_sum, CAST(sum(q) AS BIGINT) AS other_sum, round(sum(1 - (1 - p) ** r), 4) AS expected
+FROM cuts JOIN ref ON r >= c CROSS JOIN totals GROUP BY i, c"""
+)
+def q_percentile_curve(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    of = lambda c: F.sum(F.when(F.col("condition") == c, F.col("n")))
+    per = rows.groupBy("l_partkey").agg(of("N").alias("r"), F.coalesce(of("R"), F.lit(0)).alias("q"))
+    totals = per.agg(F.least(F.lit(1.0), F.try_divide(F.sum("q"), F.sum("r"))).alias("p"))
+    ref = per.where("r > 0").crossJoin(F.broadcast(totals))
+    out = stats.threshold_curve(ref, "r", F.col("q") > 0, "q", 1, 99, F.col("p"))
+    return out.withColumn("cutoff", F.round("cutoff", 6)).withColumn("expected", F.round("expected", 4))
+
+
+@query(
+    """SELECT lang, quantile_disc(n_chars, 0.1) AS q10, quantile_disc(n_chars, 0.25) AS q25, quantile_disc(n_chars, 0.5) AS q50, quantile_disc(n_chars, 0.75) AS q75, quantile_disc(n_chars, 0.9) AS q90 FROM documents GROUP BY lang"""
+)
+def q_disc_quantile(spark, sf_dir):
+    return stats.discrete_quantiles(table(spark, sf_dir, "documents"), ["lang"], "n_chars", [0.1, 0.25, 0.5, 0.75, 0.9])
+
+
+@query(
+    """WITH c AS (SELECT lang, substr(text, 1, 12) AS prefix, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, f) AS i FROM c)
+SELECT lang, prefix, CAST(n AS BIGINT) AS count FROM r WHERE i = 1"""
+)
+def q_mode_affix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", F.substring("text", 1, 12).alias("prefix"), "doc_id")
+    return stats.most_common(docs, ["lang"], "prefix", "doc_id")
+
+
+_PER_PART = f"WITH {BLOCK}, per AS (SELECT sample, l_partkey, count(*) AS c FROM block GROUP BY 1, 2)"
+
+
+def _per_part(spark, sf_dir):
+    return blocks(spark, sf_dir).groupBy("sample", "l_partkey").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query(f"{_PER_PART} SELECT l_partkey FROM per WHERE c >= 2 GROUP BY 1 HAVING count(*) = 9")
+def q_shared_set(spark, sf_dir):
+    return sets.shared_set(_per_part(spark, sf_dir), "l_partkey", "sample", F.col("c"), 2, 9)
+
+
+@query(f"{_PER_PART} SELECT DISTINCT l_partkey FROM per WHERE c > 5")
+def q_union_set(spark, sf_dir):
+    return sets.analysis_set(_per_part(spark, sf_dir), "l_partkey", "sample", F.col("c") - 5, 0, 9)
+
+
+@query(f"""WITH {BLOCK} SELECT l_suppkey, {", ".join(f"CAST(count(*) FILTER (sample = '{s}') AS BIGINT) AS \"{s}_lines\", CAST(coalesce(sum(n) FILTER (sample = '{s}'), 0) AS BIGINT) AS \"{s}_bases\"" for s in ("A_1", "N_2", "R_3"))} FROM block GROUP BY 1""")
+def q_pivot_samples(spark, sf_dir):
+    rows = blocks(spark, sf_dir).withColumn("one", F.lit(1))
+    return sets.pivot_samples(rows, ["l_suppkey"], "sample", ["A_1", "N_2", "R_3"], {"lines": "one", "bases": "n"})
+
+
+@query(
+    """WITH m AS (SELECT avg(l_extendedprice) FILTER (l_returnflag = 'A') AS ma, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS mb, var_samp(l_extendedprice) FILTER (l_returnflag = 'A') AS va, var_samp(l_extendedprice) FILTER (l_returnflag = 'R') AS vb,
+  count(*) FILTER (l_returnflag = 'A') AS na, count(*) FILTER (l_returnflag = 'R') AS nb FROM lineitem)
+SELECT round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df FROM m"""
+)
+def q_welch(spark, sf_dir):
+    row = stats.welch(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", "A", "R")
+    return row.withColumns({"mean_a": F.round("mean_a", 4), "mean_b": F.round("mean_b", 4), "t": F.round("t", 6), "df": F.round("df", 4)})
+
+
+@query(
+    f"""{BOTH}, hit AS (SELECT sample, {OFFSET.format("p")} AS o FROM block JOIN feat USING (chrom, strand) WHERE p BETWEEN s AND e), c AS (SELECT sample, o, count(*) AS c FROM hit GROUP BY 1, 2),
+norm AS (SELECT *, CAST(c AS DOUBLE) / max(c) OVER (PARTITION BY sample) AS v FROM c), base AS (SELECT sample, median(v) AS b FROM norm WHERE o <= -5 GROUP BY 1)
+SELECT sample, round(any_value(b), 6) AS baseline, round(sum(v - b), 6) AS area_under_peak FROM norm JOIN base USING (sample) WHERE o BETWEEN -4 AND 0 GROUP BY sample"""
+)
+def q_max_normalise_area(spark, sf_dir):
+    counts = profiles.histogram(_hits(spark, sf_dir).withColumn("o", _offset()), ["sample"], "o", "c")
+    norm = profiles.max_normalised(counts, ["sample"], "c", "v")
+    area = profiles.area_above_baseline(norm, ["sample"], "o", "v", -5, -4, 0)
+    return area.select("sample", F.round("baseline", 6).alias("baseline"), F.round("area_under_peak", 6).alias("area_under_peak"))
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, CAST(n AS BIGINT) AS n, round(n * 100.0 / sum(n) OVER (PARTITION BY l_returnflag), 6) AS percent FROM c""")
+def q_composition(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("n"))
+    out = stats.composition(rows, ["l_returnflag"], "l_linestatus", "n")
+    return out.withColumn("percent", F.round("percent", 6))
+
+
+@query(
+    f"""WITH {BLOCK}, c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, p, n, l_linenumber AS k FROM block)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, p, p + n + k + 100 + 3 - 1 AS last, p + n + k AS span_md_start, p + n + 3 + k AS span_md, CAST(3 AS BIGINT) AS parts, TRUE AS spliced, p + n + 1 AS first_deleted, n + 3 AS aligned FROM c"""
+)
+def q_cigar_blocks(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    n, k = F.col("n"), F.col("l_linenumber")
+    # n matched, k deleted, 1 matched, 100 skipped, an insertion, 2 matched
+    c = F.concat(F.lit("5S"), n.cast("string"), F.lit("M"), k.cast("string"), F.lit("D1M100N4I2M3H"))
+    b = cigar.blocks(F.col("p"), c)
+    return rows.select(
+        *LINE,
+        "p",
+        cigar.reference_end(F.col("p"), c).alias("last"),
+        F.get(b, F.lit(1))["start"].alias("span_md_start"),
+        cigar.span_md(F.col("p"), c).alias("span_md"),
+        F.size(b).cast("long").alias("parts"),
+        cigar.is_spliced(c).alias("spliced"),
+        F.get(cigar.deletions_shifted(F.col("p"), c), F.lit(0)).alias("first_deleted"),
+        F.aggregate(b, F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"] + 1).alias("aligned"),
+    )
+
+
+@query(
+    """WITH r AS (SELECT l_returnflag, CASE WHEN l_tax > 0.07 THEN 'unmapped' WHEN l_discount > 0.08 THEN 'improper' WHEN l_linestatus = 'F' AND l_quantity > 40 THEN 'nonunique' END AS reason FROM lineitem)
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS examined, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS library, CAST(count(*) FILTER (reason = 'unmapped') AS BIGINT) AS filtered_unmapped, CAST(count(*) FILTER (reason = 'improper') AS BIGINT) AS filtered_improper, CAST(count(*) FILTER (reason = 'nonunique') AS BIGINT) AS filtered_nonunique,
+  round(count(*) FILTER (reason IS NULL) * 100.0 / count(*), 6) AS library_percent FROM r GROUP BY 1"""
+)
+def q_filter_cascade(spark, sf_dir):
+    reason = F.when(F.col("l_tax") > 0.07, "unmapped").when(F.col("l_discount") > 0.08, "improper").when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40), "nonunique")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", reason.alias("reason"))
+    out = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("examined"), F.count_if(F.col("reason").isNull()).alias("library"), *[F.count_if(F.col("reason") == x).alias(f"filtered_{x}") for x in ("unmapped", "improper", "nonunique")])
+    return out.withColumn("library_percent", F.round(coerce.percent_of(F.col("library"), F.col("examined")), 6))
+
+
+@query(f"""WITH {BLOCK}, c AS (SELECT condition, sample, count(*) AS n, min(l_linenumber % 3) AS o FROM block GROUP BY 1, 2) SELECT condition, CAST(sum(n) AS BIGINT) AS total, string_agg(sample || '=' || n, ';' ORDER BY o) AS per_sample FROM c GROUP BY 1""")
+def q_condition_text(spark, sf_dir):
+    counts = blocks(spark, sf_dir).groupBy("condition", "sample").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("l_linenumber") % 3).alias("o"))
+    return counts.groupBy("condition").agg(F.sum("n").alias("total"), sets.ordered_text("sample", F.col("n"), "o").alias("per_sample"))
+
+
+@query(
+    f"""WITH {BLOCK}, {_SAMPLES}, spots AS (SELECT sample, unnest(range(greatest(p, 700), least(q, 760) + 1)) AS x FROM block WHERE chrom = 2 AND p <= 760 AND q >= 700), c AS (SELECT sample, x, count(*) AS c FROM spots GROUP BY 1, 2),
+grid AS (SELECT sample, condition, library, unnest(range(700, 761)) AS x FROM samples)
+SELECT condition, CAST(x AS INTEGER) AS position, CAST(count(*) AS BIGINT) AS sample_count, round(avg(coalesce(c, 0) * 1e6 / library), 4) AS mean_coverage FROM grid LEFT JOIN c USING (sample, x) GROUP BY 1, 2"""
+)
+def q_region_depth(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    depth = profiles.range_coverage(rows.where("chrom = 2 AND p <= 760 AND q >= 700"), ["sample"], F.col("p"), F.col("q"), 700, 760, name="position")
+    full = profiles.dense(depth, _samples(rows), ["sample"], ["coverage_count"], 700, 760, "position")
+    per = full.withColumn("v", coerce.cpm(F.col("coverage_count"), F.col("library")))
+    return per.groupBy("condition", "position").agg(F.count_distinct("sample").alias("sample_count"), F.round(F.avg("v"), 4).alias("mean_coverage"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 10007, event_id) AS i FROM events) SELECT user_id, event_id FROM r WHERE i <= 10 + user_id % 3""")
+def q_subsample_cap(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    order = [F.col("event_id") * 7919 % 10007, F.col("event_id")]
+    return layout.capped_sample(events, ["user_id"], F.lit(10) + F.col("user_id") % 3, order)
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT user_id, event_id, event_type FROM r WHERE i = 1""")
+def q_first_seen(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
+    return sets.first_seen(rows, ["user_id"], "order").select("user_id", "event_id", "event_type")
+
+
+@query(
+    """SELECT event_id, 'G' || user_id AS gene_id, event_type AS gene_type, replace(lower(event_type || '-RNA x'), '-', '_') = replace(event_type || '_rna x', '-', '_') AS lowered, event_type = 'click' AS tagged FROM events"""
+)
+def q_attributes(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    attrs = F.concat(F.lit('gene_id "old"; gene_id "G'), F.col("user_id").cast("string"), F.lit('"; tag "a"; tag "'), F.col("event_type"), F.lit('"; gene_type "'), F.col("event_type"), F.lit('"; level 2;'))
+    made = events.select("event_id", "event_type", attrs.alias("a"))
+    as_map = text.gtf_attributes(F.col("a"))
+    lowered = text.normalised_type(F.concat("event_type", F.lit("-RNA x"))) == F.concat("event_type", F.lit("_rna_x"))
+    return made.select("event_id", F.get(F.array(as_map["gene_id"]), F.lit(0)).alias("gene_id"), text.gtf_attribute(F.col("a"), "gene_type").alias("gene_type"), lowered.alias("lowered"), text.has_tag(F.col("a"), "click").alias("tagged"))
+
+
+@query()
+def q_lane_packing(spark, sf_dir):
+    rows = blocks(spark, sf_dir).where("chrom = 1 AND p BETWEEN 300 AND 420")
+    few = layout.capped_sample(rows.withColumn("read_name", F.concat_ws(":", *LINE)), ["sample"], F.lit(100), [layout.seeded(1, *LINE)])
+    packed = layout.pack_lanes(few.select("sample", "read_name", F.col("p").alias("xmin"), F.col("q").alias("xmax")), ["sample"])
+    tall = packed.groupBy("sample").agg(F.max("pack_lane").cast("long").alias("lanes"))
+    return packed.join(layout.stack_lanes(tall, ["sample"], "lanes"), "sample")
