@@ -31,6 +31,7 @@ class Config:
     epochs: int = 400
     rate: float = 0.01
     decay: float = 1e-4
+    halvings: int = 3
     shrink: float = 0.97  # the prior's estimate is a bound from above
     threshold: float = 0.3
     seed: int = 11
@@ -118,9 +119,15 @@ def start(rng: np.random.Generator, width: int, hidden: int) -> list[np.ndarray]
 
 
 def estimate_prior(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Generator) -> float:
-    """Share of positives among the unlabelled.
+    """Share of positives among the unlabelled: the mean bound of several random halvings, times config.shrink."""
+    bounds = [_bound(zp, zu, config, rng) for _ in range(config.halvings)]
+    return float(np.clip(config.shrink * np.mean(bounds), 0.02, 0.98))
 
-    A network tells positives from unlabelled texts on one half. On the other half, the share of the unlabelled above any threshold, over that of the positives, bounds the prior from above; the least bound is taken, over thresholds that keep a quarter of the positives, so that chance does not make it too low, and config.shrink of it is returned.
+
+def _bound(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Generator) -> float:
+    """A bound from above of the share of positives among the unlabelled.
+
+    A network tells positives from unlabelled texts on one half. On the other half, the share of the unlabelled above any threshold, over that of the positives, bounds the prior from above; the bound that is least with its standard error added is taken, so that a threshold above which little lies isn't chosen by chance.
     """
     zp, zu = rng.permutation(zp), rng.permutation(zu)
     a, b = len(zp) // 2, len(zu) // 2
@@ -138,8 +145,10 @@ def estimate_prior(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.rando
     if not len(p) or not len(u):
         return 0.5
     cuts = np.quantile(p, np.linspace(0.02, 0.75, 74))
-    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
-    return float(np.clip(config.shrink * (above(u) / above(p)).min(), 0.02, 0.98))
+    n_p, n_u = (len(x) - np.searchsorted(x, cuts) for x in (p, u))
+    bound = (n_u / len(u)) / (n_p / len(p))
+    least = np.argmin(bound * (1 + np.sqrt(1 / n_p + 1 / np.maximum(n_u, 1))))
+    return float(bound[least])
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, config: Config = Config()) -> Model | None:

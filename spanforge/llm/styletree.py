@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S)
+UNFINISHED = re.compile("/?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPACES = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
@@ -151,10 +151,11 @@ class Page:
         at, size = 0, len(markup)
         while at < size:
             m = TOKEN.match(markup, at)
-            if m is None:  # an unfinished tag: the rest is no text
-                return
             at = m.end()
-            if m[4] is not None:
+            if m[4] == "<" and UNFINISHED.match(markup, at):
+                # a tag with an open quote ends at the next ">", one without an end is no text
+                at = markup.find(">", at) + 1 or size
+            elif m[4] is not None:
                 self.buffer.append(m[4])
             elif m[2]:
                 tag = m[2].lower()
