@@ -25,8 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Config:
-    toxic: int = 3000  # labelled documents fitted on, about; at most twice as many
-    clean: int = 6000
+    toxic: int = 2000  # labelled documents fitted on, about; at most twice as many
+    clean: int = 4000
     prefixes: tuple[int, ...] = (4, 5, 6, 7)
     least: int = 4  # documents that a feature must be in
     features: int = 4000
@@ -37,7 +37,7 @@ class Config:
     decay: float = 1e-6
     threshold: float = 0.7
     sentence_threshold: float = 0.5
-    max_chars: int = 100_000  # of a text that is fitted on
+    max_chars: int = 50_000  # of a text that is fitted on
     seed: int = 13
 
 
@@ -95,24 +95,37 @@ def train(texts: list[str], toxic: list[int], config: Config = Config()) -> Mode
     y = np.array(toxic, float)
     if not 0 < y.sum() < len(y):
         return None
-    bags = [[sorted({f for w in set(WORD.findall(m[0].lower())) for f in word_features(w, config.prefixes)}) for m in SENTENCE.finditer(t)] for t in texts]
+    # Features are numbers from here on, and each word's are looked up once, so that a text costs little more than its words.
+    number: dict[str, int] = {}
+    of_word: dict[str, tuple[int, ...]] = {}
+
+    def features(sentence: str) -> set[int]:
+        found: set[int] = set()
+        for w in WORD.findall(sentence.lower()):
+            if w not in of_word:
+                of_word[w] = tuple(number.setdefault(f, len(number)) for f in word_features(w, config.prefixes))
+            found.update(of_word[w])
+        return found
+
     seen: list[Counter] = [Counter(), Counter()]
-    for bag, label in zip(bags, toxic):
-        seen[label].update({f for s in bag for f in s})
+    for t, label in zip(texts, toxic):
+        seen[label].update(features(t))
     n1, n0 = y.sum(), len(y) - y.sum()
+    enough = config.z / np.sqrt(n1 * n0 / len(y))
     strength = {}
-    for f in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][f], seen[0][f]
+    for f, k in number.items():
+        a, b = seen[1][k], seen[0][k]
         if a + b >= config.least:
             p = (a + b) / len(y)
-            strength[f] = (a / n1 - b / n0) / np.sqrt(p * (1 - p) + 1e-9)
-    enough = config.z / np.sqrt(n1 * n0 / len(y))
-    chosen = sorted((f for f in strength if strength[f] >= enough), key=lambda f: (-strength[f], f))[: config.features]
-    index = {f: i for i, f in enumerate(chosen)}
+            z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) + 1e-9)
+            if z >= enough:
+                strength[f] = z
+    chosen = sorted(strength, key=lambda f: (-strength[f], f))[: config.features]
+    index = {number[f]: i for i, f in enumerate(chosen)}
     rows, cols, owner = [], [], []
-    for i, bag in enumerate(bags):
-        for s in bag:
-            ids = [index[f] for f in s if f in index]
+    for i, t in enumerate(texts):
+        for m in SENTENCE.finditer(t):
+            ids = sorted(index[k] for k in features(m[0]) if k in index)
             if ids:
                 rows += [len(owner)] * len(ids)
                 cols += ids
