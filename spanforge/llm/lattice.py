@@ -10,7 +10,6 @@ Words are counted over the whole corpus. The commonest words, a bounded number,
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 START = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -38,17 +36,21 @@ class Config:
     longest: int = 16  # characters of a piece that is used
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.translate(UPPER))
+def words(text: str) -> list[bytes]:
+    """In UTF-8; bytes are split at the ASCII white space 0x20 and 0x09 to 0x0D."""
+    return text.encode("utf-8", "replace").translate(LOWER).split()
+
+
+Trie = dict[str, tuple["Trie", int]]
 
 
 @dataclass
 class Lattice:
-    """trie: of each beginning of a piece, the piece's number, or -1. Numbers 0 to 255 are bytes and 256 is the end."""
+    """trie: for each character what may follow it, and the number of the piece that ends there, or -1. Numbers 0 to 255 are bytes, 256 is the end and 257 the bare mark of a word's start."""
 
-    trie: dict[str, int]
+    trie: Trie
     logs: list[float]
-    edges_of_char: dict[str, float] = field(default_factory=dict)
+    spelling: dict[str, float] = field(default_factory=dict)
 
     @property
     def end(self) -> float:
@@ -59,92 +61,85 @@ class Lattice:
 
     def spelled(self, char: str) -> float:
         """Log-probability of a character as bytes."""
-        found = self.edges_of_char.get(char)
+        found = self.spelling.get(char)
         if found is None:
-            if len(self.edges_of_char) > 100_000:
-                self.edges_of_char.clear()
-            found = self.edges_of_char[char] = sum(self.logs[b] for b in char.encode("utf-8", "replace"))
+            if len(self.spelling) > 100_000:
+                self.spelling.clear()
+            found = self.spelling[char] = sum(self.logs[b] for b in char.encode("utf-8", "replace"))
         return found
 
+    def edges(self, s: str) -> list[tuple[int, int, int, float]]:
+        """(from, to, piece, log-probability) by their start. Each character may be spelled (piece -1); the mark of the start is a piece of its own."""
+        out = []
+        root, logs, n = self.trie, self.logs, len(s)
+        for i in range(n):
+            out.append((i, i + 1, -1, self.spelled(s[i])) if i else (0, 1, 257, logs[257]))
+            node = root
+            for j in range(i, n):
+                step = node.get(s[j])
+                if step is None:
+                    break
+                node, k = step
+                if k >= 0:
+                    out.append((i, j + 1, k, logs[k]))
+        return out
+
     def forward(self, word: str) -> float:
         """Natural logarithm of the word's probability, over all segmentations."""
         s = START + word
         n = len(s)
-        into: list[list[float] | None] = [None] * (n + 1)
-        alpha = 0.0
-        get, logs, exp = self.trie.get, self.logs, math.exp
+        alpha: list[float | None] = [None] * (n + 1)
+        alpha[0] = 0.0
+        root, logs, exp, log1p, spelling = self.trie, self.logs, math.exp, math.log1p, self.spelling
         for i in range(n):
+            a = alpha[i]
             if i:
-                terms = into[i]
-                if len(terms) == 1:
-                    alpha = terms[0]
-                else:
-                    top = max(terms)
-                    alpha = top + math.log(sum([exp(t - top) for t in terms]))
-                into[i] = None
-            # A character may always be spelled; the mark of a word's start is a piece of its own.
-            nxt = alpha + (self.spelled(s[i]) if i else logs[257])
-            if into[i + 1] is None:
-                into[i + 1] = [nxt]
+                c = s[i]
+                x = spelling.get(c)
+                x = a + (self.spelled(c) if x is None else x)
             else:
-                into[i + 1].append(nxt)
-            j = i + 1
-            while j <= n:
-                k = get(s[i:j], -2)
-                if k == -2:
+                x = logs[257]
+            b = alpha[i + 1]
+            alpha[i + 1] = x if b is None else b + log1p(exp(x - b)) if b >= x else x + log1p(exp(b - x))
+            node = root
+            j = i
+            while j < n:
+                step = node.get(s[j])
+                if step is None:
                     break
-                if k >= 0 and (i or j > 1):
-                    if into[j] is None:
-                        into[j] = [alpha + logs[k]]
-                    else:
-                        into[j].append(alpha + logs[k])
                 j += 1
-        terms = into[n]
-        top = max(terms)
-        return top + math.log(sum([exp(t - top) for t in terms]))
+                node, k = step
+                if k >= 0:
+                    x = a + logs[k]
+                    b = alpha[j]
+                    alpha[j] = x if b is None else b + log1p(exp(x - b)) if b >= x else x + log1p(exp(b - x))
+        return alpha[n]
 
     def expect(self, word: str, weight: float, totals: np.ndarray | list[float]) -> None:
-        """Adds the expected number of uses of each piece, times the weight."""
+        """Adds the expected number of uses of each piece, times the weight: forward and backward over the same edges."""
         s = START + word
         n = len(s)
-        edges: list[tuple[int, int, int, float]] = []
-        alpha = [-math.inf] * (n + 1)
+        edges = self.edges(s)
+        alpha: list[float | None] = [None] * (n + 1)
         alpha[0] = 0.0
-        get, logs, exp, log1p = self.trie.get, self.logs, math.exp, math.log1p
-
-        def add(a: float, b: float) -> float:
-            if a < b:
-                a, b = b, a
-            return a if b == -math.inf else a + log1p(exp(b - a))
-
-        for i in range(n):
-            a = alpha[i]
-            p = self.spelled(s[i]) if i else logs[257]
-            edges.append((i, i + 1, -1 if i else 257, p))
-            alpha[i + 1] = add(alpha[i + 1], a + p)
-            j = i + 1
-            while j <= n:
-                k = get(s[i:j], -2)
-                if k == -2:
-                    break
-                if k >= 0 and (i or j > 1):
-                    edges.append((i, j, k, logs[k]))
-                    alpha[j] = add(alpha[j], a + logs[k])
-                j += 1
-        total = alpha[n]
-        beta = [-math.inf] * (n + 1)
-        beta[n] = 0.0
+        exp, log1p = math.exp, math.log1p
+        for i, j, _, p in edges:
+            x = alpha[i] + p
+            b = alpha[j]
+            alpha[j] = x if b is None else b + log1p(exp(x - b)) if b >= x else x + log1p(exp(b - x))
+        # The weight that passes through each place goes back along the edges into it, by their shares of its forward sum.
+        passes = [0.0] * (n + 1)
+        passes[n] = weight
         for i, j, k, p in reversed(edges):
-            q = p + beta[j]
-            beta[i] = add(beta[i], q)
-            share = alpha[i] + q - total
-            if share > -30:
-                share = weight * exp(share)
+            x = passes[j]
+            if x:
+                x *= exp(alpha[i] + p - alpha[j])
+                passes[i] += x
                 if k >= 0:
-                    totals[k] += share
+                    totals[k] += x
                 else:
                     for b in s[i].encode("utf-8", "replace"):
-                        totals[b] += share
+                        totals[b] += x
 
 
 def load(config: Config = Config()) -> Lattice:
@@ -156,21 +151,25 @@ def load(config: Config = Config()) -> Lattice:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i)
-            if len(piece) <= config.longest and START not in piece[1:] and piece == piece.translate(UPPER) and not WORD.sub("", piece):
+            if len(piece) <= config.longest and START not in piece[1:] and piece == piece.encode().translate(LOWER).decode() and len(piece.encode().split()) == 1:
                 scored.append((-model.get_score(i), piece))
     return from_pieces([p for _, p in sorted(scored)])
 
 
 def from_pieces(pieces: list[str]) -> Lattice:
     """Pieces from the commonest to the rarest. Piece r weighs 1 / (r + 10); all bytes together, the end and the bare mark of a start weigh as much as some pieces."""
-    trie: dict[str, int] = {}
+    trie: Trie = {}
     weights = [0.002] * 256 + [0.05, 0.05]
     for piece in pieces:
         if piece == START:
             continue
-        for j in range(1, len(piece)):
-            trie.setdefault(piece[:j], -1)
-        trie[piece] = len(weights)
+        node = trie
+        for c in piece[:-1]:
+            if c not in node:
+                node[c] = ({}, -1)
+            node = node[c][0]
+        below = node[piece[-1]][0] if piece[-1] in node else {}
+        node[piece[-1]] = (below, len(weights))
         weights.append(1 / (len(weights) - 258 + 10))
     total = sum(weights)
     return Lattice(trie, [math.log(w / total) for w in weights])
@@ -262,7 +261,7 @@ def score(docs: DataFrame, train, config: Config = Config(), id_column: str = "d
             break
         least = r["level"]
     top = scored.where(level >= F.lit(least)).collect() if least is not None else []
-    table = common.Shared(spark, {r["word"]: (r["known"], r["base"], r["log"]) for r in top})
+    table = common.Shared(spark, {r["word"].encode(): (r["known"], r["base"], r["log"]) for r in top})
     end = (ends > 0, math.log10(ends + 1) - below, lattice.end / math.log(10))
 
     rows_schema = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("log", pa.float64())])
@@ -272,24 +271,34 @@ def score(docs: DataFrame, train, config: Config = Config(), id_column: str = "d
         # Rows of a text meet again under a number that a rerun of the task gives again.
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            cols: list[list] = [[] for _ in rows_schema.names]
-            for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
+            ids = batch.column(0)
+            rare_rows, rare_words, rare_times = [], [], []
+            first, sums = row, []
+            for text in common.texts(batch.column(1)):
                 found = words(text)
                 n_known, base, log = int(end[0]), end[1], end[2]
+                before = len(rare_words)
                 for w, k in Counter(found).items():
                     hit = known.get(w)
                     if hit is None:
-                        for c, x in zip(cols, (row, w, k, None, 0, 0, 0.0, 0.0)):
-                            c.append(x)
+                        rare_words.append(w)
+                        rare_times.append(k)
                     else:
                         n_known += k * hit[0]
                         base += k * hit[1]
                         log += k * hit[2]
-                # A space is in no word, so this row meets no word in the join below, and rows like it are spread.
-                for c, x in zip(cols, (row, f" {row}", 0, doc, len(found) + 1, n_known, base, log)):
-                    c.append(x)
+                rare_rows += [row] * (len(rare_words) - before)
+                sums.append((len(found) + 1, n_known, base, log))
                 row += 1
-            yield common.like(rows_schema, cols)
+            # A space is in no word, so these rows meet no word in the join below, and rows like them are spread.
+            texts_ = [*range(first, row)]
+            yield common.like(rows_schema, [texts_, [f" {r}" for r in texts_], [0] * len(texts_), ids.to_pylist(), *([x[i] for x in sums] for i in range(4))])
+            n = len(rare_words)
+            for at in range(0, n, 100_000):
+                m = min(100_000, n - at)
+                zero, none = pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.int64())
+                flat = pa.array(np.zeros(m))
+                yield pa.RecordBatch.from_arrays([pa.array(rare_rows[at : at + m], pa.int64()), pa.array(rare_words[at : at + m], pa.string()), pa.array(rare_times[at : at + m], pa.int64()), none, zero, zero, flat, flat], schema=rows_schema)
 
     parts = slim.select("id", "t").mapInArrow(split, "row long, word string, times long, id long, n_tokens long, n_known long, base double, log double")
     rare = scored.where(level < F.lit(least)) if least is not None else scored
