@@ -21,8 +21,8 @@ def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_first(docs, DEDUP)
+    """One document of each group of near-duplicates stays: those that share at least 0.8 of their five-word shingles, by their SimHash sketches."""
+    return simhash.keep_one_of_similar(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample(docs)
 
 
-#: Near-duplicates here are those of word shingles: five words.
-DEDUP = simhash.Config(shingle=5)
-
 STAGES = [("quality", quality), ("toxicity", clean_speech), ("near_duplicates", near_duplicates), ("decontamination", no_benchmark), ("mixing", mix)]
 
 #: The classifiers can't be told in SQL; the tests hold every stage against a plain version.

@@ -3,10 +3,14 @@
 A fingerprint of 64 bits is seen as a ring of m segments. If two fingerprints differ in at most t bits in all, then some segment starts a chain around the ring of which every beginning of l segments differs in at most l * t / m bits. With m = 5 and t = 2 the budgets of such a chain are 0, 0, 1, 1, 2 bits: two neighbouring segments agree entirely, the next two differ in one bit together at most. So fingerprints are joined on each pair of neighbouring segments (25 or 26 bits), the pairs found must keep within the budgets of the whole chain, and the full Hamming check follows.
 
 Equal fingerprints are one node. Where more than `bucket` different fingerprints share such a key, pairs aren't listed. There every fingerprint is put under itself and under each string that differs from it in one of the other bits; two fingerprints are within 2 bits if, and only if, they meet under some string, and all that meet there are linked to one of them. That gives the same components from a number of rows that grows with the fingerprints, not with their pairs.
+
+For near copies by similarity, `keep_one_of_similar`, one fingerprint isn't enough: texts that share four fifths of their five-word shingles differ in about ten of 64 bits. There, several independent fingerprints over single words find candidates, as near copies agree in most words and so in nearly all bits of at least one of these; a long fingerprint over the shingles then estimates the similarity of each candidate pair.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .decontam import words as plain_words
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,41 +98,42 @@ def _chain(config: Config) -> tuple[list[int], int]:
     return budgets, sum(b == 0 for b in budgets)
 
 
-def links(nodes: DataFrame, config: Config = Config()) -> DataFrame:
-    """Links (a, b) between nodes; nodes: (fp, first), one row for each fingerprint, first being its name.
+def links(nodes: DataFrame, config: Config = Config(), rounds: int = 1) -> DataFrame:
+    """Links (a, b) between nodes; nodes: (fps, first), one row for each node: its fingerprints, one for each round, as an array, and its name.
 
-    They are the pairs within the distance, or, for fingerprints in a large bucket, pairs that join the same fingerprints into components.
+    They are the pairs within the distance in any round, or, for nodes in a large bucket, pairs that join the same nodes into components.
     """
     if config.distance != 2 or config.segments < 3:
         raise ValueError("links() is written for a distance of 2")
     ring, (budgets, equal) = segments(config), _chain(config)
     keys = [_mask([ring[(i + j) % len(ring)] for j in range(equal)]) for i in range(len(ring))]
-    start = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_long(k)).alias("key")) for i, k in enumerate(keys)]))
-    placed = common.stored(nodes.select("fp", "first", start.alias("p")).select("fp", "first", "p.i", "p.key"))
+    each = [F.struct(F.lit(r * len(ring) + i).alias("i"), F.get("fps", F.lit(r)).alias("fp"), F.get("fps", F.lit(r)).bitwiseAND(_long(k)).alias("key")) for r in range(rounds) for i, k in enumerate(keys)]
+    placed = nodes.select("first", F.explode(F.array(*each)).alias("p")).select("first", "p.i", "p.fp", "p.key")
     sizes = common.cut(placed.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    at = F.col("i") % len(ring)
 
-    # Small buckets: pairs, pruned by the budgets around the ring, then by the full distance. No fingerprint meets more than `bucket` others under a key.
+    # Small buckets: pairs, pruned by the budgets around the ring, then by the full distance. No node meets more than `bucket` others under a key.
     small = placed.join(sizes.where(F.col("n") <= config.bucket).select("i", "key"), ["i", "key"], "left_semi")
     left, right = (small.select("i", "key", F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x)) for x in "ab")
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
     within = F.lit(False)
     for i in range(len(ring)):
-        here = F.col("i") == i
+        here = at == i
         for length in range(equal + 1, len(ring) + 1):
             if length == len(ring) or budgets[length - 1] != budgets[length]:
                 here &= _bits(differ, _mask([ring[(i + j) % len(ring)] for j in range(length)])) <= budgets[length - 1]
         within |= here
-    pairs = left.join(right, ["i", "key"]).where((F.col("fp_a") < F.col("fp_b")) & within).where(F.bit_count(differ) <= config.distance).select("a", "b")
+    pairs = left.join(right, ["i", "key"]).where((F.col("a") < F.col("b")) & within).where(F.bit_count(differ) <= config.distance).select("a", "b")
 
-    # Large buckets: all that are within one bit of the same string are linked to one of them. At most 65 fingerprints are, so no string is hot.
+    # Large buckets: all that are within one bit of the same string are linked to one of them.
     large = placed.join(sizes.where(F.col("n") > config.bucket).select("i", "key"), ["i", "key"], "left_semi")
     near = None
     for i, k in enumerate(keys):
         flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_long(1 << bit)) for bit in range(64) if not k >> bit & 1])
-        near = F.when(F.col("i") == i, flips) if near is None else near.when(F.col("i") == i, flips)
-    under = large.select("first", F.explode(near).alias("s"))
-    least = under.groupBy("s").agg(F.min("first").alias("a"), F.max("first").alias("z")).where(F.col("a") < F.col("z")).select("s", "a")
-    stars = under.join(least, "s").where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b"))
+        near = F.when(at == i, flips) if near is None else near.when(at == i, flips)
+    under = large.select("first", F.floor(F.col("i") / len(ring)).cast("int").alias("r"), F.explode(near).alias("s"))
+    least = under.groupBy("r", "s").agg(F.min("first").alias("a"), F.max("first").alias("z")).where(F.col("a") < F.col("z")).select("r", "s", "a")
+    stars = under.join(common.cut(least), ["r", "s"]).where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b"))
     return pairs.unionAll(stars)
 
 
@@ -138,7 +144,7 @@ def classes(docs: DataFrame, config: Config = Config(), id_column: str = "doc_id
     """
     by_id = common.stored(fingerprints(docs, config, id_column, text_column))
     nodes = common.cut(by_id.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("first")))
-    linked = components(links(nodes, config))
+    linked = components(links(nodes.select(F.array("fp").alias("fps"), "first"), config))
     named = nodes.join(linked, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component"))
     return by_id.join(named, "fp", "left").select(F.col("id").alias(id_column), "fp", "component")
 
@@ -146,11 +152,94 @@ def classes(docs: DataFrame, config: Config = Config(), id_column: str = "doc_id
 def keep_first(docs: DataFrame, config: Config = Config(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each component, with all columns: the one whose id names the component. Of rows that share that id one stays; rows with a null id all do."""
     found = classes(docs, config, id_column, text_column)
-    firsts = found.where(F.col(id_column) == F.col("component")).select(F.col(id_column))
-    kept = docs.where(F.col(id_column).isNotNull()).join(firsts, id_column, "left_semi").dropDuplicates([id_column])
+    return _with_ids(docs, found.where(F.col(id_column) == F.col("component")).select(id_column), id_column)
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    kept = docs.where(F.col(id_column).isNotNull()).join(ids, id_column, "left_semi").dropDuplicates([id_column])
     return kept.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
 
 
+@dataclass(frozen=True)
+class Similar:
+    """Settings of keep_one_of_similar."""
+
+    shingle: int = 5  # words
+    similarity: float = 0.8  # share of all shingles of two texts that both have
+    slack: float = 0.04  # how far below that an estimate may be, about one standard error of it
+    rounds: int = 8  # fingerprints over words
+    bucket: int = 64
+
+    def bits(self) -> int:
+        """Most bits of 512 in which the shingles' fingerprints may differ: the angle between sets of that similarity."""
+        j = self.similarity - self.slack
+        return int(512 * math.acos(2 * j / (1 + j)) / math.pi)
+
+
+class Sketches:
+    """Long fingerprints of texts; digests of common words are kept, a bounded number."""
+
+    def __init__(self, config: Similar):
+        self.config = config
+        self.known: dict[bytes, bytes] = {}
+
+    def digest(self, word: bytes) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[word] = hashlib.blake2b(word, digest_size=8 * self.config.rounds).digest()
+        return found
+
+    @staticmethod
+    def majority(digests: list[bytes]) -> np.ndarray:
+        counts, width = 0, len(digests[0])
+        for at in range(0, len(digests), 1 << 13):
+            some = digests[at : at + (1 << 13)]
+            counts = counts + np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(-1, width), axis=1).sum(0, dtype=np.int64)
+        return np.packbits(counts * 2 > len(digests)).view(np.int64)
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(over different words, over shingles), as 64-bit integers."""
+        found = plain_words(text) or [b""]
+        k = self.config.shingle
+        joined = b" ".join(found)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        starts = np.concatenate([[0], ends[:-k]]).tolist() if len(found) > k else [0]
+        stops = (ends[k - 1 :] - 1).tolist() if len(found) > k else [len(joined)]
+        shingles = {joined[a:b] for a, b in zip(starts, stops)}
+        b2 = hashlib.blake2b
+        return self.majority([self.digest(w) for w in set(found)]), self.majority([b2(x, digest_size=64).digest() for x in shingles])
+
+
+def similar_links(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): nodes (first, fps, s) are the different sketches, named by their smallest id; links (a, b) the similar ones, enough to join all into their components. Rows with a null id are left out."""
+    common.prepare(docs.sparkSession)
+    out = pa.schema([("id", pa.int64()), ("fps", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(config)
+        for batch in batches:
+            found = [sketches.of(t) for t in common.texts(batch.column(1))]
+            yield common.like(out, [batch.column(0).to_pylist(), [w.tolist() for w, _ in found], [s.tolist() for _, s in found]])
+
+    slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t"))
+    sketched = slim.mapInArrow(apply, "id long, fps array<long>, s array<long>")
+    nodes = common.stored(sketched.groupBy("fps", "s").agg(F.min("id").alias("first")))
+    found = links(nodes.select("fps", "first"), Config(bucket=config.bucket), config.rounds).distinct()
+    of = lambda x: nodes.select(F.col("first").alias(x), F.col("s").alias(f"s_{x}"))
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return nodes, found.join(of("a"), "a").join(of("b"), "b").where(differ <= config.bits()).select("a", "b")
+
+
+def keep_one_of_similar(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of similar texts, with all columns: the one with the smallest id. Rows with a null id all stay."""
+    nodes, found = similar_links(docs, config, id_column, text_column)
+    linked = components(found).where(F.col("node") != F.col("component")).select(F.col("node").alias("first"))
+    firsts = nodes.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
+    return _with_ids(docs, firsts, id_column)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = classes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

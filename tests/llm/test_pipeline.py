@@ -23,7 +23,8 @@ def test_run_against_plain_stages(spark):
     scorer = toxicity.Scorer(toxicity.fit(now(), labels))
     left = {i for i in left if scorer.score(rows[i]["text"])[0] < 0.7}
 
-    fps = {i: simhash.fingerprint(rows[i]["text"], corpus_pipeline.DEDUP.shingle) for i in left}
+    config = simhash.Similar()
+    sketches = {i: simhash.Sketches(config).of(rows[i]["text"]) for i in left}
     ids, parent = sorted(left), {i: i for i in left}
 
     def root(i):
@@ -31,9 +32,10 @@ def test_run_against_plain_stages(spark):
             i = parent[i]
         return i
 
-    x = np.array([fps[i] for i in ids], np.uint64)
+    words, shingles = (np.array([sketches[i][k] for i in ids]).view(np.uint64) for k in (0, 1))
     for a in range(len(ids)):
-        for b in np.nonzero(np.bitwise_count(x[a + 1 :] ^ x[a]) <= 2)[0]:
+        near = (np.bitwise_count(words[a + 1 :] ^ words[a]) <= 2).any(1) & (np.bitwise_count(shingles[a + 1 :] ^ shingles[a]).sum(1) <= config.bits())
+        for b in np.nonzero(near)[0]:
             u, v = sorted((root(ids[a]), root(ids[a + 1 + b])))
             parent[v] = u
     left = {i for i in left if parent[i] == i}

@@ -85,7 +85,7 @@ def test_links_in_small_and_large_buckets(spark):
         first = {}
         for i, x in sorted(fps.items()):
             first.setdefault(x, i)
-        nodes = spark.createDataFrame([(x - (x >> 63 << 64), i) for x, i in first.items()], "fp long, first long")
+        nodes = spark.createDataFrame([([x - (x >> 63 << 64)], i) for x, i in first.items()], "fps array<long>, first long")
         found = {r["node"]: r["component"] for r in components(simhash.links(nodes, simhash.Config(bucket=bucket))).collect()}
         assert {i: found.get(first[x], first[x]) for i, x in fps.items()} == expected
 
@@ -110,3 +110,34 @@ def test_odd_rows_and_first_of_each(spark):
     ids = sorted(r["doc_id"] or -1 for r in kept.collect())
     assert ids == [-1, 2, 3, 7, 8]
     assert simhash.classes(docs.limit(0)).count() == 0
+
+
+def _jaccard(a, b):
+    x, y = (({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_keep_one(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, close, apart = [], [], []
+    for g in range(40):
+        base = [word() for _ in range(rng.choice((60, 150, 400)))]
+        rows.append((g * 10, " ".join(base)))
+        for n in range(1, 6):
+            changed = list(base)
+            for _ in range(rng.randrange(max(2, len(base) // 12))):
+                changed[rng.randrange(len(base))] = word()
+            j = _jaccard(base, changed)
+            (close if j >= 0.85 else apart if j < 0.6 else []).append(g * 10 + n)
+            rows.append((g * 10 + n, " ".join(changed)))
+    rows += [(900, None), (901, ""), (902, "one two"), (902, "one two"), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", F.lit("clash"))
+    for config in (simhash.Similar(), simhash.Similar(bucket=2)):
+        out = simhash.keep_one_of_similar(df, config)
+        assert out.columns == df.columns
+        kept = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect())
+        assert len(kept) == len(set(kept)) and {-1, 900, 902} | {g * 10 for g in range(40)} <= set(kept) and 901 not in kept
+        assert len(close) > 40 and sum(i in kept for i in close) / len(close) < 0.03
+        assert len(apart) > 20 and sum(i in kept for i in apart) / len(apart) > 0.9
+    assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
