@@ -1,44 +1,72 @@
-"""Shares of RNA kinds for drawing: of all pairs, of mapped ones, and in three levels."""
+"""Shares of RNA kinds for drawing: broad groups of what mapped, kinds within the smallest of them, and counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions import coerce
-from spanforge.operators import stats
+#: Names of the main groups; all others are other RNA.
+BROAD = {"rRNA": "rRNA", "snRNA": "snRNA", "protein_coding_intron": "pre-mRNA", "protein_coding_exon": "mRNA", "intergenic": "intergenic"}
+BROAD_ORDER = ("rRNA", "snRNA", "pre-mRNA", "mRNA", "intergenic", "other RNA")
 
-#: What the categories are called together.
-GROUPS = {
-    "rRNA": "rRNA",
-    "protein_coding_exon": "protein coding exon",
-    "protein_coding_intron": "protein coding intron",
-    "lncRNA": "lncRNA",
+#: Kinds within other RNA.
+SUBTYPES = {
     "mitochondrial": "mitochondrial",
-    "genome_unmapped": "unmapped",
+    "snoRNA": "snoRNA",
+    "scaRNA": "scaRNA",
+    "miRNA": "miRNA",
+    "tRNA": "tRNA",
+    "ribozyme": "ribozyme",
+    "vaultRNA": "vaultRNA",
+    "misc_RNA": "misc_RNA",
+    "lncRNA": "lncRNA",
+    "pseudogene": "pseudogene",
+    "other_annotated_genic": "other annotated/ambiguous",
+    "ambiguous": "other annotated/ambiguous",
 }
-OTHER = "other"
 
 
-def grouped(content: DataFrame) -> DataFrame:
-    """(sample, group, count, percent): categories recoded, shares of each sample's total."""
-    names = F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair])
-    return stats.composition(content.withColumn("group", F.coalesce(names[F.col("category")], F.lit(OTHER))), ["sample"], "group", "count")
+def _named(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("category")]
+
+
+def _rows(content: DataFrame) -> DataFrame:
+    """What mapped, with the condition, the sample's name up to its first underscore."""
+    rows = content.where("category <> 'genome_unmapped'")
+    return rows.withColumns({"condition": F.regexp_extract("sample", "^[^_]+", 0), "percent_total": F.col("fraction_of_total_input_pairs").cast("double") * 100})
 
 
-def of_mapped(content: DataFrame) -> DataFrame:
-    """(sample, category, count, percent) without what didn't map."""
-    return stats.composition(content.where("category <> 'genome_unmapped'"), ["sample"], "category", "count")
+def broad(content: DataFrame) -> DataFrame:
+    """(sample, condition, broad_category, percent_total, mapped_percent_of_input, percent_mapped), in the groups' order."""
+    named = _rows(content).withColumn("broad_category", F.coalesce(_named(BROAD), F.lit("other RNA")))
+    sums = named.groupBy("sample", "condition", "broad_category").agg(F.sum("percent_total").alias("percent_total"))
+    mapped = F.sum("percent_total").over(Window.partitionBy("sample", "condition"))
+    order = F.array_position(F.array(*[F.lit(x) for x in BROAD_ORDER]), F.col("broad_category"))
+    out = sums.withColumn("mapped_percent_of_input", mapped).withColumn("percent_mapped", F.try_divide("percent_total", "mapped_percent_of_input") * 100)
+    return out.orderBy("sample", order)
 
 
 def label_places(shares: DataFrame) -> DataFrame:
-    """shares with label_y, the middle of each group's part of a stacked bar."""
-    order = Window.partitionBy("sample").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
-    return shares.withColumn("label_y", F.sum("percent").over(order) - F.col("percent") / 2)
+    """broad() with label_x, the middle of each group's part of a stacked bar."""
+    order = F.array_position(F.array(*[F.lit(x) for x in BROAD_ORDER]), F.col("broad_category"))
+    up_to = Window.partitionBy("sample", "condition").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return shares.withColumn("label_x", F.sum("percent_mapped").over(up_to) - F.col("percent_mapped") / 2)
+
+
+def subtypes(content: DataFrame) -> DataFrame:
+    """(sample, condition, subtype, percent_total, mapped_percent_of_input, percent_mapped, mean_percent) of kinds that any sample has."""
+    named = _rows(content).withColumn("subtype", _named(SUBTYPES)).where("subtype IS NOT NULL")
+    sums = named.groupBy("sample", "condition", "subtype").agg(F.sum("percent_total").alias("percent_total"))
+    mapped = broad(content).select("sample", "condition", "mapped_percent_of_input").distinct()
+    out = sums.join(mapped, ["sample", "condition"]).withColumn("percent_mapped", F.try_divide("percent_total", "mapped_percent_of_input") * 100)
+    return out.withColumn("mean_percent", F.avg("percent_mapped").over(Window.partitionBy("subtype"))).where("mean_percent > 0")
+
+
+def subtype_means(content: DataFrame, conditions: list[str]) -> DataFrame:
+    """(subtype, one column for each condition): mean shares, side by side."""
+    return subtypes(content).groupBy("subtype").pivot("condition", conditions).agg(F.avg("percent_mapped"))
 
 
-def mean_shares(shares: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(condition, group, mean_percent) over samples; a group that a sample lacks counts as 0 there."""
-    both = shares.join(F.broadcast(conditions), "sample")
-    n = F.broadcast(conditions.groupBy("condition").agg(F.count_distinct("sample").alias("n")))
-    return both.groupBy("condition", "group").agg(F.sum("percent").alias("s")).join(n, "condition").select("condition", "group", coerce.ratio(F.col("s"), F.col("n")).alias("mean_percent"))
+def mapped_pairs(content: DataFrame) -> DataFrame:
+    """(sample, condition, mapped_pairs, mapped_pairs_millions)"""
+    return _rows(content).groupBy("sample", "condition").agg(F.sum("count").alias("mapped_pairs")).withColumn("mapped_pairs_millions", F.col("mapped_pairs") / 1e6).orderBy("sample")

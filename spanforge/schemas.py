@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Of "name type, ..."; made without a session, which Spark's own parser needs."""
+    return T.StructType([T.StructField(name, _SPANS if kind == "spans" else _TYPES[kind]) for name, kind in (x.split() for x in text.split(","))])
 
 
 ALIGNMENTS = _struct("sample string, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, nh int")
@@ -19,7 +24,7 @@ BRANCHPOINT_REFERENCE = _struct(
 SAMPLES = _struct("sample string, condition string, condition_ordinal int")
 SPAN = _struct("start long, end long")
 GENES = _struct(
-    "gene_id string, gene_name string, transcript_id string, chrom string, strand string, transcript_start long, transcript_end long, three_prime_end long, terminal_exon_start long, terminal_exon_end long, transcript_length long, exonic_length long, exon_count int, intron_count int, exon_spans array<struct<start:long,end:long>>, intron_spans array<struct<start:long,end:long>>"
+    "gene_id string, gene_name string, transcript_id string, chrom string, strand string, transcript_start long, transcript_end long, three_prime_end long, terminal_exon_start long, terminal_exon_end long, transcript_length long, exonic_length long, exon_count int, intron_count int, exon_spans spans, intron_spans spans"
 )
 SMALL_NCRNA = _struct("gene_id string, gene_name string, chrom string, strand string, start long, end long, category string")
 FASTQ = _struct("ordinal long, name string, sequence string, quality string")

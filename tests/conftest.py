@@ -28,6 +28,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-SF = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF, SF_ORACLE
+from paths import SF, SF_ORACLE
 from oracle import assert_same
 from spanforge.plans import catalog
 
