@@ -39,7 +39,7 @@ class Downstream:
             F.count_distinct("intron_id").alias("downstream_exon_spanning_introns"),
             F.sum("reach").alias("reach_sum"),
             F.count_if(first.between(low, high)).alias("profile_window_start_fragments"),
-            F.sum(F.greatest(covered, F.lit(0))).alias("profiled_coverage_positions"),
+            F.sum(F.when(first.isNotNull(), F.greatest(covered, F.lit(0)))).alias("profiled_coverage_positions"),
             F.count_if(first == 0).alias("exact_branchpoint_start_fragments"),
             F.count_if(first == 1).alias("plus_one_branchpoint_start_fragments"),
             F.count_if(first.isin(0, 1)).alias("zero_or_plus_one_branchpoint_start_fragments"),

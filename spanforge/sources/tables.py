@@ -43,7 +43,7 @@ def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of exactly nine tab-separated fields; comments and all others are skipped."""
     fields = F.split(F.col("value"), "\t")
     lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value")).where(~F.col("value").startswith("#")).select(fields.alias("f")).where(F.size("f") == 9)
-    return lines.select(*[F.get("f", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schemas.GTF)])
+    return lines.select(*[F.get("f", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schemas.GTF)])
 
 
 def read_branchpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +65,7 @@ def read_selected_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str | list[str], sample: str | None = None) -> DataFrame:
     """Alignments of SAM text, headers skipped; nh is the NH tag or null. Without a sample the file's name up to its first dot is it."""
+    # Casts are tried: a later filter may be run on a line before the one that leaves headers out.
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
     f = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
     rows = lines.where(~F.col("value").startswith("@")).select("file", f.alias("f")).where(F.size("f") >= 11)
@@ -73,14 +74,14 @@ def read_sam(spark: SparkSession, path: str | list[str], sample: str | None = No
     return rows.select(
         (F.lit(sample) if sample is not None else sample_of(F.col("file"))).alias("sample"),
         at(0).alias("qname"),
-        at(1).cast("int").alias("flag"),
+        at(1).try_cast("int").alias("flag"),
         F.when(at(2) != "*", at(2)).alias("rname"),
-        at(3).cast("long").alias("pos"),
-        at(4).cast("int").alias("mapq"),
+        at(3).try_cast("long").alias("pos"),
+        at(4).try_cast("int").alias("mapq"),
         F.when(at(5) != "*", at(5)).alias("cigar"),
         F.when(at(6) == "=", F.when(at(2) != "*", at(2))).when(at(6) != "*", at(6)).alias("rnext"),
-        at(7).cast("long").alias("pnext"),
-        at(8).cast("long").alias("tlen"),
+        at(7).try_cast("long").alias("pnext"),
+        at(8).try_cast("long").alias("tlen"),
         F.when(nh != "", nh).cast("int").alias("nh"),
     )
 
