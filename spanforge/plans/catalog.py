@@ -177,9 +177,9 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e ROWS U
 merged AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM numbered GROUP BY {keys}, run)"""
 
 
-@query(f"WITH {FEAT}, few AS (SELECT * FROM feat WHERE id % 8 = 0){_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='few')} SELECT chrom, strand, s, e FROM merged")
+@query(f"WITH {FEAT}{_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='feat')} SELECT chrom, strand, s, e FROM merged")
 def q_merge_spans(spark, sf_dir):
-    return intervals.merge_spans(features(spark, sf_dir).where("id % 8 = 0"), KEYS, "s", "e")
+    return intervals.merge_spans(features(spark, sf_dir), KEYS, "s", "e")
 
 
 @query(f"WITH {BLOCK}{_MERGED.format(keys='l_orderkey', s='p', e='q', gap=0, source='block')} SELECT l_orderkey, s AS p, e AS q FROM merged")
@@ -199,14 +199,14 @@ def q_gaps(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FEAT}, few AS (SELECT * FROM feat WHERE id % 8 = 0){_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='few')},
-whole AS (SELECT chrom, strand, 1 AS ws, 2600 AS we FROM few GROUP BY 1, 2),
+    f"""WITH {FEAT}{_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='feat')},
+whole AS (SELECT chrom, strand, 1 AS ws, 2600 AS we FROM feat GROUP BY 1, 2),
 cut AS (SELECT chrom, strand, coalesce(lag(e) OVER w + 1, ws) AS a, s - 1 AS b FROM merged JOIN whole USING (chrom, strand) WINDOW w AS (PARTITION BY chrom, strand ORDER BY s)
   UNION ALL SELECT chrom, strand, max(e) + 1, any_value(we) FROM merged JOIN whole USING (chrom, strand) GROUP BY 1, 2)
 SELECT chrom, strand, CAST(a AS BIGINT) AS s, CAST(b AS BIGINT) AS e FROM cut WHERE a <= b"""
 )
 def q_subtract(spark, sf_dir):
-    parts = features(spark, sf_dir).where("id % 8 = 0").select(*KEYS, "s", "e")
+    parts = features(spark, sf_dir).select(*KEYS, "s", "e")
     wholes = parts.select(*KEYS).distinct().select(*KEYS, F.lit(1).cast("long").alias("s"), F.lit(2600).cast("long").alias("e"))
     return intervals.subtract(wholes, parts, KEYS, "s", "e")
 
@@ -270,13 +270,13 @@ def q_symmetric_minus(spark, sf_dir):
 
 
 @query(
-    """WITH days AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d, event_id FROM events WHERE event_id % 5 = 0),
+    """WITH days AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d, event_id FROM events),
 flagged AS (SELECT *, CASE WHEN d - lag(d) OVER w = 1 THEN 0 ELSE 1 END AS f, row_number() OVER w AS i FROM days WINDOW w AS (PARTITION BY user_id ORDER BY d, event_id)),
 numbered AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY i) AS run FROM flagged), weighted AS (SELECT user_id, d, 1.0 / count(*) OVER (PARTITION BY user_id, run) AS w FROM numbered)
 SELECT user_id, d, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(w AS DOUBLE)), 6) AS weight FROM weighted GROUP BY 1, 2"""
 )
 def q_runs_weighted(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    events = table(spark, sf_dir, "events")
     days = events.select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("d"))
     return intervals.runs(days, ["user_id"], "d").groupBy("user_id", "d").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("run_weight"), 6).alias("weight"))
 
@@ -469,7 +469,8 @@ def q_attributes(spark, sf_dir):
 
 @query()
 def q_lane_packing(spark, sf_dir):
-    rows = blocks(spark, sf_dir).where("chrom = 1 AND p BETWEEN 300 AND 420")
+    """A repeatable sample of a hundred blocks of each sample, as a browser draws them."""
+    rows = blocks(spark, sf_dir)
     few = layout.capped_sample(rows.withColumn("read_name", F.concat_ws(":", *LINE)), ["sample"], F.lit(100), [layout.seeded(1, *LINE)])
     packed = layout.pack_lanes(few.select("sample", "read_name", F.col("p").alias("xmin"), F.col("q").alias("xmax")), ["sample"])
     tall = packed.groupBy("sample").agg(F.max("pack_lane").cast("long").alias("lanes"))
