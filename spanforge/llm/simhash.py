@@ -168,7 +168,7 @@ class Similar:
     similarity: float = 0.8  # share of all shingles of two texts that both have
     slack: float = 0.04  # how far below that an estimate may be, about one standard error of it
     rounds: int = 8  # fingerprints over words
-    bucket: int = 64
+    bucket: int = 256
 
     def bits(self) -> int:
         """Most bits of 512 in which the shingles' fingerprints may differ: the angle between sets of that similarity."""
@@ -212,8 +212,8 @@ class Sketches:
         return self.majority([self.digest(w) for w in set(found)]), self.majority([b2(x, digest_size=64).digest() for x in shingles])
 
 
-def similar_links(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): nodes (first, fps, s) are the different sketches, named by their smallest id; links (a, b) the similar ones, enough to join all into their components. Rows with a null id are left out."""
+def sketched(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(first, fps, s): the different sketches, named by their smallest id. Rows with a null id are left out."""
     common.prepare(docs.sparkSession)
     out = pa.schema([("id", pa.int64()), ("fps", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
 
@@ -224,19 +224,29 @@ def similar_links(docs: DataFrame, config: Similar = Similar(), id_column: str =
             yield common.like(out, [batch.column(0).to_pylist(), [w.tolist() for w, _ in found], [s.tolist() for _, s in found]])
 
     slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t"))
-    sketched = slim.mapInArrow(apply, "id long, fps array<long>, s array<long>")
-    nodes = common.stored(sketched.groupBy("fps", "s").agg(F.min("id").alias("first")))
-    found = links(nodes.select("fps", "first"), Config(bucket=config.bucket), config.rounds).distinct()
+    return slim.mapInArrow(apply, "id long, fps array<long>, s array<long>").groupBy("fps", "s").agg(F.min("id").alias("first"))
+
+
+def similar(nodes: DataFrame, candidates: DataFrame, config: Similar) -> DataFrame:
+    """The candidate pairs (a, b) whose shingles' sketches are near enough."""
     of = lambda x: nodes.select(F.col("first").alias(x), F.col("s").alias(f"s_{x}"))
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return nodes, found.join(of("a"), "a").join(of("b"), "b").where(differ <= config.bits()).select("a", "b")
+    return candidates.distinct().join(of("a"), "a").join(of("b"), "b").where(differ <= config.bits()).select("a", "b")
 
 
 def keep_one_of_similar(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of similar texts, with all columns: the one with the smallest id. Rows with a null id all stay."""
-    nodes, found = similar_links(docs, config, id_column, text_column)
+    """One row of each group of similar texts, with all columns: the one with the smallest id. Rows with a null id all stay.
+
+    First, texts that agree in a whole word fingerprint are compared with the first of them, and go if they are similar: most near copies are found so, at a row for each fingerprint. Then all that are left are linked as links() does, and the first of each component of similar ones stays.
+    """
+    nodes = common.stored(sketched(docs, config, id_column, text_column))
+    each = nodes.select("first", F.posexplode("fps").alias("r", "fp"))
+    least = common.cut(each.groupBy("r", "fp").agg(F.min("first").alias("a"), F.max("first").alias("z")).where(F.col("a") < F.col("z")).select("r", "fp", "a"))
+    copies = similar(nodes, each.join(least, ["r", "fp"]).where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b")), config)
+    left = common.stored(nodes.join(copies.select(F.col("b").alias("first")).distinct(), "first", "left_anti"))
+    found = similar(left, links(left.select("fps", "first"), Config(bucket=config.bucket), config.rounds), config)
     linked = components(found).where(F.col("node") != F.col("component")).select(F.col("node").alias("first"))
-    firsts = nodes.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
+    firsts = left.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
     return _with_ids(docs, firsts, id_column)
 
 

@@ -25,20 +25,30 @@ def test_run_against_plain_stages(spark):
 
     config = simhash.Similar()
     sketches = {i: simhash.Sketches(config).of(rows[i]["text"]) for i in left}
-    ids, parent = sorted(left), {i: i for i in left}
+    near = lambda i, j: np.bitwise_count((sketches[i][1] ^ sketches[j][1]).view(np.uint64)).sum() <= config.bits()
+    # texts of equal sketches are one, then those that share a word fingerprint go if they are like the first that has it
+    first, by_word = {}, {}
+    for i in sorted(left):
+        if first.setdefault((sketches[i][0].tobytes(), sketches[i][1].tobytes()), i) == i:
+            for r, fp in enumerate(sketches[i][0].tolist()):
+                by_word.setdefault((r, fp), []).append(i)
+    copies = {i for same in by_word.values() for i in same[1:] if near(same[0], i)}
+    ids = sorted(set(first.values()) - copies)
+    parent = {i: i for i in ids}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    words, shingles = (np.array([sketches[i][k] for i in ids]).view(np.uint64) for k in (0, 1))
-    for a in range(len(ids)):
-        near = (np.bitwise_count(words[a + 1 :] ^ words[a]) <= 2).any(1) & (np.bitwise_count(shingles[a + 1 :] ^ shingles[a]).sum(1) <= config.bits())
-        for b in np.nonzero(near)[0]:
-            u, v = sorted((root(ids[a]), root(ids[a + 1 + b])))
-            parent[v] = u
-    left = {i for i in left if parent[i] == i}
+    words = np.array([sketches[i][0] for i in ids]).view(np.uint64)
+    for a, i in enumerate(ids):
+        for b in np.nonzero((np.bitwise_count(words[a + 1 :] ^ words[a]) <= 2).any(1))[0]:
+            j = ids[a + 1 + b]
+            if near(i, j):
+                u, v = sorted((root(i), root(j)))
+                parent[v] = u
+    left = {i for i in ids if parent[i] == i}
 
     windows = set()
     for r in common.table(spark, SF, "benchmark").collect():
