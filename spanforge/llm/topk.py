@@ -27,7 +27,7 @@ class Config:
     k: int = 20
     blocks: int = 4  # of dimensions
     queries: int = 4096  # sent to the executors at once
-    tile: int = 4096  # rows scored at once
+    tile: int = 2048  # rows scored at once
 
 
 def _cuts(width: int, blocks: int) -> list[slice]:
