@@ -7,35 +7,34 @@ from pyspark.sql import functions as F
 
 
 def operations(cigar: Column) -> Column:
-    """array<struct<n:long, op:string>>"""
-    n = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
-    op = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
-    return F.zip_with(n, op, lambda a, b: F.struct(a.cast("long").alias("n"), b.alias("op")))
+    """array<struct<n:long, op:string>>. Where several facts of a CIGAR are wanted, make this a column first and hand it to each as ops: it is then parsed once."""
+    tokens = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+    return F.transform(tokens, lambda t: F.struct(F.substring(t, F.lit(1), F.length(t) - 1).cast("long").alias("n"), F.right(t, F.lit(1)).alias("op")))
 
 
-def _sum(cigar: Column, kinds: str) -> Column:
-    return F.aggregate(operations(cigar), F.lit(0).cast("long"), lambda total, x: total + F.when(x["op"].isin(*kinds), x["n"]).otherwise(0))
+def _sum(ops: Column, kinds: str) -> Column:
+    return F.aggregate(ops, F.lit(0).cast("long"), lambda total, x: total + F.when(x["op"].isin(*kinds), x["n"]).otherwise(0))
 
 
-def reference_length(cigar: Column) -> Column:
+def reference_length(cigar: Column, ops: Column | None = None) -> Column:
     """Bases of the reference from the first to the last aligned one."""
-    return _sum(cigar, "MDN=X")
+    return _sum(operations(cigar) if ops is None else ops, "MDN=X")
 
 
-def reference_end(pos: Column, cigar: Column) -> Column:
-    return pos + reference_length(cigar) - 1
+def reference_end(pos: Column, cigar: Column, ops: Column | None = None) -> Column:
+    return pos + reference_length(cigar, ops) - 1
 
 
-def span_md(pos: Column, cigar: Column) -> Column:
+def span_md(pos: Column, cigar: Column, ops: Column | None = None) -> Column:
     """Position one past the last base, counting M and D only, and used as if it were the last base. Long-read coverage is defined with it."""
-    return pos + _sum(cigar, "MD")
+    return pos + _sum(operations(cigar) if ops is None else ops, "MD")
 
 
 def is_spliced(cigar: Column) -> Column:
     return F.coalesce(cigar.rlike("(^|[A-Z=])0*[1-9][0-9]*N"), F.lit(False))
 
 
-def _walk(pos: Column, cigar: Column, keep: str, advance: str) -> Column:
+def _walk(pos: Column, ops: Column, keep: str, advance: str) -> Column:
     """Spans of the operations in keep, when those in advance move along the reference."""
     start = F.struct(pos.cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
 
@@ -46,15 +45,15 @@ def _walk(pos: Column, cigar: Column, keep: str, advance: str) -> Column:
             F.when(x["op"].isin(*keep) & (x["n"] > 0), F.concat(state["spans"], F.array(here))).otherwise(state["spans"]).alias("spans"),
         )
 
-    return F.aggregate(operations(cigar), start, step, lambda s: s["spans"])
+    return F.aggregate(ops, start, step, lambda s: s["spans"])
 
 
-def blocks(pos: Column, cigar: Column) -> Column:
+def blocks(pos: Column, cigar: Column, ops: Column | None = None) -> Column:
     """Aligned spans, one for each M, = or X; D and N move on, the others don't."""
-    return _walk(pos, cigar, "M=X", "MDN=X")
+    return _walk(pos, operations(cigar) if ops is None else ops, "M=X", "MDN=X")
 
 
-def deletions_shifted(pos: Column, cigar: Column) -> Column:
+def deletions_shifted(pos: Column, cigar: Column, ops: Column | None = None) -> Column:
     """Deleted positions, each one further than it is, with only M and D moving on. Long-read deletion profiles are defined with it."""
-    spans = _walk(pos, cigar, "D", "MD")
+    spans = _walk(pos, operations(cigar) if ops is None else ops, "D", "MD")
     return F.flatten(F.transform(spans, lambda s: F.sequence(s["start"] + 1, s["end"] + 1)))

@@ -397,16 +397,18 @@ def q_cigar_blocks(spark, sf_dir):
     n, k = F.col("n"), F.col("l_linenumber")
     # n matched, k deleted, 1 matched, 100 skipped, an insertion, 2 matched
     c = F.concat(F.lit("5S"), n.cast("string"), F.lit("M"), k.cast("string"), F.lit("D1M100N4I2M3H"))
-    b = cigar.blocks(F.col("p"), c)
-    return rows.select(
+    parsed = rows.select(*LINE, "p", c.alias("cigar")).withColumn("ops", cigar.operations(F.col("cigar")))
+    parsed = parsed.withColumn("b", cigar.blocks(F.col("p"), F.col("cigar"), F.col("ops")))
+    p, text_, ops, b = (F.col(x) for x in ("p", "cigar", "ops", "b"))
+    return parsed.select(
         *LINE,
         "p",
-        cigar.reference_end(F.col("p"), c).alias("last"),
+        cigar.reference_end(p, text_, ops).alias("last"),
         F.get(b, F.lit(1))["start"].alias("span_md_start"),
-        cigar.span_md(F.col("p"), c).alias("span_md"),
+        cigar.span_md(p, text_, ops).alias("span_md"),
         F.size(b).cast("long").alias("parts"),
-        cigar.is_spliced(c).alias("spliced"),
-        F.get(cigar.deletions_shifted(F.col("p"), c), F.lit(0)).alias("first_deleted"),
+        cigar.is_spliced(text_).alias("spliced"),
+        F.get(cigar.deletions_shifted(p, text_, ops), F.lit(0)).alias("first_deleted"),
         F.aggregate(b, F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"] + 1).alias("aligned"),
     )
 
