@@ -237,16 +237,15 @@ def similar(nodes: DataFrame, candidates: DataFrame, config: Similar) -> DataFra
 def keep_one_of_similar(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of similar texts, with all columns: the one with the smallest id. Rows with a null id all stay.
 
-    First, texts that agree in a whole word fingerprint are compared with the first of them, and go if they are similar: most near copies are found so, at a row for each fingerprint. Then all that are left are linked as links() does, and the first of each component of similar ones stays.
+    Texts that agree in a whole word fingerprint are linked with the first of them if they are similar, and all texts, those too, are linked as links() does. All links make one graph, and the first of each of its components stays.
     """
     nodes = common.stored(sketched(docs, config, id_column, text_column))
     each = nodes.select("first", F.posexplode("fps").alias("r", "fp"))
     least = common.cut(each.groupBy("r", "fp").agg(F.min("first").alias("a"), F.max("first").alias("z")).where(F.col("a") < F.col("z")).select("r", "fp", "a"))
-    copies = similar(nodes, each.join(least, ["r", "fp"]).where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b")), config)
-    left = common.stored(nodes.join(copies.select(F.col("b").alias("first")).distinct(), "first", "left_anti"))
-    found = similar(left, links(left.select("fps", "first"), Config(bucket=config.bucket), config.rounds), config)
+    copies = each.join(least, ["r", "fp"]).where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b"))
+    found = similar(nodes, copies.unionAll(links(nodes.select("fps", "first"), Config(bucket=config.bucket), config.rounds)), config)
     linked = components(found).where(F.col("node") != F.col("component")).select(F.col("node").alias("first"))
-    firsts = left.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
+    firsts = nodes.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
     return _with_ids(docs, firsts, id_column)
 
 

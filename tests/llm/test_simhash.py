@@ -141,3 +141,23 @@ def test_similar_texts_keep_one(spark):
         assert len(close) > 40 and sum(i in kept for i in close) / len(close) < 0.03
         assert len(apart) > 20 and sum(i in kept for i in apart) / len(apart) > 0.9
     assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def test_a_group_hangs_together_by_a_text_in_its_middle(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, unlike = [], 0
+    for g in range(12):
+        base = [word() for _ in range(300)]
+        texts = []
+        for _ in range(20):
+            changed = list(base)
+            for i in rng.sample(range(300), 5):
+                changed[i] = word()
+            texts.append(changed)
+        unlike += sum(_jaccard(a, b) < 0.75 for a, b in itertools.combinations(texts, 2))
+        texts.insert(10, base)  # copies are like this one, not each other
+        rows += [(g * 100 + n, " ".join(x)) for n, x in enumerate(texts)]
+    assert unlike > 12 * 150
+    kept = {r["doc_id"] for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {g * 100 for g in range(12)} <= kept and len(kept) <= 24
