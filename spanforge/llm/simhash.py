@@ -4,7 +4,7 @@ A fingerprint of 64 bits is seen as a ring of m segments. If two fingerprints di
 
 Equal fingerprints are one node. Where more than `bucket` different fingerprints share such a key, pairs aren't listed. There every fingerprint is put under itself and under each string that differs from it in one of the other bits; two fingerprints are within 2 bits if, and only if, they meet under some string, and all that meet there are linked to one of them. That gives the same components from a number of rows that grows with the fingerprints, not with their pairs.
 
-For near copies by similarity, `keep_one_of_similar`, one fingerprint isn't enough: texts that share four fifths of their five-word shingles differ in about ten of 64 bits. There, several independent fingerprints over single words find candidates, as near copies agree in most words and so in nearly all bits of at least one of these; a long fingerprint over the shingles then estimates the similarity of each candidate pair.
+For near copies by similarity, `keep_one_of_similar`, one fingerprint isn't enough: texts that share four fifths of their five-word shingles differ in about ten of 64 bits. There, candidates are texts that agree in a band of min-hashes of their shingles: the chance of it depends on the similarity alone, not on where texts differ. A long fingerprint over the shingles then estimates the similarity of each candidate pair.
 """
 
 from __future__ import annotations
@@ -168,7 +168,9 @@ class Similar:
     similarity: float = 0.8  # share of all shingles of two texts that both have
     slack: float = 0.04  # how far below that an estimate may be, about one standard error of it
     rounds: int = 8  # fingerprints over words
-    bucket: int = 256
+    bucket: int = 256  # texts of a band, not yet in one component, that are compared without more rounds of links to a middle one
+    bands: int = 20
+    band: int = 4  # min-hashes of a band: all agree by chance similarity ** band
 
     def bits(self) -> int:
         """Most bits of 512 in which the shingles' fingerprints may differ: the angle between sets of that similarity."""
@@ -182,6 +184,8 @@ class Sketches:
     def __init__(self, config: Similar):
         self.config = config
         self.known: dict[bytes, bytes] = {}
+        # a digest has eight independent numbers; each odd factor puts them in another order
+        self.odd = np.random.default_rng(42).integers(1 << 62, (1 << 63) - 1, -(-config.bands * config.band // 8)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def digest(self, word: bytes) -> bytes:
         found = self.known.get(word)
@@ -202,6 +206,24 @@ class Sketches:
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(over different words, over shingles), as 64-bit integers."""
         found = plain_words(text) or [b""]
+        return self.majority([self.digest(w) for w in set(found)]), self.majority(self.shingles(found))
+
+    def banded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(bands of min-hashes, fingerprint), both over shingles, as 64-bit integers."""
+        digests = self.shingles(plain_words(text) or [b""])
+        return self.bands(digests), self.majority(digests)
+
+    def bands(self, digests: list[bytes]) -> np.ndarray:
+        least = None
+        for at in range(0, len(digests), 1 << 12):
+            lanes = np.frombuffer(b"".join(digests[at : at + (1 << 12)]), np.uint64).reshape(-1, 8)
+            now = np.stack([(lanes * m).min(0) for m in self.odd])
+            least = now if least is None else np.minimum(least, now)
+        each = least.reshape(-1)[: self.config.bands * self.config.band].reshape(self.config.bands, -1)
+        return np.array([xxhash.xxh64_intdigest(x.tobytes(), self.config.band) for x in each], np.uint64).view(np.int64)
+
+    def shingles(self, found: list[bytes]) -> list[bytes]:
+        """64-byte digests of the different shingles."""
         k = self.config.shingle
         joined = b" ".join(found)
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
@@ -209,22 +231,22 @@ class Sketches:
         stops = (ends[k - 1 :] - 1).tolist() if len(found) > k else [len(joined)]
         shingles = {joined[a:b] for a, b in zip(starts, stops)}
         b2 = hashlib.blake2b
-        return self.majority([self.digest(w) for w in set(found)]), self.majority([b2(x, digest_size=64).digest() for x in shingles])
+        return [b2(x, digest_size=64).digest() for x in shingles]
 
 
 def sketched(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(first, fps, s): the different sketches, named by their smallest id. Rows with a null id are left out."""
+    """(first, bands, s): the different sketches, named by their smallest id. Rows with a null id are left out."""
     common.prepare(docs.sparkSession)
-    out = pa.schema([("id", pa.int64()), ("fps", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
+    out = pa.schema([("id", pa.int64()), ("bands", pa.list_(pa.int64())), ("s", pa.list_(pa.int64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = Sketches(config)
         for batch in batches:
-            found = [sketches.of(t) for t in common.texts(batch.column(1))]
-            yield common.like(out, [batch.column(0).to_pylist(), [w.tolist() for w, _ in found], [s.tolist() for _, s in found]])
+            found = [sketches.banded(t) for t in common.texts(batch.column(1))]
+            yield common.like(out, [batch.column(0).to_pylist(), [b.tolist() for b, _ in found], [s.tolist() for _, s in found]])
 
     slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t"))
-    return slim.mapInArrow(apply, "id long, fps array<long>, s array<long>").groupBy("fps", "s").agg(F.min("id").alias("first"))
+    return slim.mapInArrow(apply, "id long, bands array<long>, s array<long>").groupBy("bands", "s").agg(F.min("id").alias("first"))
 
 
 def similar(nodes: DataFrame, candidates: DataFrame, config: Similar) -> DataFrame:
@@ -234,17 +256,48 @@ def similar(nodes: DataFrame, candidates: DataFrame, config: Similar) -> DataFra
     return candidates.distinct().join(of("a"), "a").join(of("b"), "b").where(differ <= config.bits()).select("a", "b")
 
 
+def joined(nodes: DataFrame, config: Similar) -> DataFrame:
+    """(node, component) of each node that has a similar one: the components of all similar pairs that share a band.
+
+    Pairs aren't all compared, as those already in one component needn't be: in each band, all are first compared with a middle one, the one with most company in all its bands, and then only texts of different components are, every pair of them.
+    """
+    placed = common.stored(nodes.select("first", F.posexplode("bands").alias("r", "key")))
+    sizes = placed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = common.stored(placed.join(sizes, ["r", "key"]))
+    members = common.stored(shared.join(shared.groupBy("first").agg(F.sum("n").alias("weight")), "first").select("r", "key", "first", "weight", F.col("first").alias("component"), F.lit(False).alias("largest")))
+    found = None
+    for turn in range(3):
+        order = F.struct("weight", "first") if not turn else F.struct(F.xxhash64("first", F.lit(turn)), "first")
+        middle = members.groupBy("r", "key").agg(F.max_by(F.struct("first", "component"), order).alias("m"))
+        stars = members.join(middle, ["r", "key"]).where(F.col("component") != F.col("m.component"))
+        pairs = similar(nodes, stars.select(F.least("first", "m.first").alias("a"), F.greatest("first", "m.first").alias("b")), config)
+        found = common.stored(pairs if found is None else found.unionAll(pairs))
+        members, most = _apart(members, components(found))
+        if most <= config.bucket:
+            break
+    # All pairs left of different components. The largest component of a band isn't paired with itself, however many it has.
+    left = members.where(~F.col("largest")).select("r", "key", F.col("first").alias("a"), F.col("component").alias("c"))
+    right = members.select("r", "key", F.col("first").alias("b"), F.col("component").alias("d"), "largest")
+    rest = left.join(right, ["r", "key"]).where((F.col("c") != F.col("d")) & (F.col("largest") | (F.col("a") < F.col("b"))))
+    return components(found.unionAll(similar(nodes, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), config)))
+
+
+def _apart(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, int]:
+    """The members of bands that aren't in one component yet, and how many such a band has at most outside its largest component."""
+    named = common.stored(members.drop("component", "largest").join(linked.select(F.col("node").alias("first"), "component"), "first", "left").withColumn("component", F.coalesce("component", "first")))
+    sizes = named.groupBy("r", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = common.stored(sizes.groupBy("r", "key").agg(F.max_by("component", F.struct("n", "component")).alias("c"), (F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > 0))
+    most = several.agg(F.max("others")).first()[0] or 0
+    return common.stored(named.join(several, ["r", "key"]).select("r", "key", "first", "weight", "component", (F.col("component") == F.col("c")).alias("largest"))), most
+
+
 def keep_one_of_similar(docs: DataFrame, config: Similar = Similar(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of similar texts, with all columns: the one with the smallest id. Rows with a null id all stay.
 
-    Texts that agree in a whole word fingerprint are linked with the first of them if they are similar, and all texts, those too, are linked as links() does. All links make one graph, and the first of each of its components stays.
+    Groups are the components of all similar pairs that share a band, however many texts a band has.
     """
     nodes = common.stored(sketched(docs, config, id_column, text_column))
-    each = nodes.select("first", F.posexplode("fps").alias("r", "fp"))
-    least = common.cut(each.groupBy("r", "fp").agg(F.min("first").alias("a"), F.max("first").alias("z")).where(F.col("a") < F.col("z")).select("r", "fp", "a"))
-    copies = each.join(least, ["r", "fp"]).where(F.col("a") < F.col("first")).select("a", F.col("first").alias("b"))
-    found = similar(nodes, copies.unionAll(links(nodes.select("fps", "first"), Config(bucket=config.bucket), config.rounds)), config)
-    linked = components(found).where(F.col("node") != F.col("component")).select(F.col("node").alias("first"))
+    linked = joined(nodes, config).where(F.col("node") != F.col("component")).select(F.col("node").alias("first"))
     firsts = nodes.select("first").join(linked, "first", "left_anti").withColumnRenamed("first", id_column)
     return _with_ids(docs, firsts, id_column)
 

@@ -161,3 +161,17 @@ def test_a_group_hangs_together_by_a_text_in_its_middle(spark):
     assert unlike > 12 * 150
     kept = {r["doc_id"] for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {g * 100 for g in range(12)} <= kept and len(kept) <= 24
+
+
+def test_near_copies_among_many_orders_of_one_word_set(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    rows = []
+    for g in range(160):
+        order = rng.sample(words, 120)
+        near = list(order)
+        near[50], near[51] = near[51], near[50]
+        assert _jaccard(order, near) > 0.85
+        rows += [(g, " ".join(order)), (1000 + g, " ".join(near))]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(160))
