@@ -175,3 +175,24 @@ def test_near_copies_among_many_orders_of_one_word_set(spark):
         rows += [(g, " ".join(order)), (1000 + g, " ".join(near))]
     kept = {r["doc_id"] for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(160))
+
+
+def test_passages_appended_and_removed(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, close, apart = [], [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.choice((80, 200, 600)))]
+        rows.append((g * 10, " ".join(base)))
+        for n, share in enumerate((0.06, 0.1, 0.14, 0.6), 1):
+            size = int(len(base) * share)
+            at = rng.randrange(len(base) - size)
+            changed = [base + [word() for _ in range(size)], base[:at] + base[at + size :], base[:at] + [word() for _ in range(size)] + base[at:]][(g + n) % 3]
+            j = _jaccard(base, changed)
+            (close if j >= 0.84 else apart if j < 0.66 else []).append(g * 10 + n)
+            rows.append((g * 10 + n, " ".join(changed)))
+    assert len(close) > 120 and len(apart) > 50
+    for config in (simhash.Similar(), simhash.Similar(bucket=1)):
+        kept = {r["doc_id"] for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()}
+        assert {g * 10 for g in range(60)} <= kept and set(apart) <= kept
+        assert sum(i in kept for i in close) <= 2
