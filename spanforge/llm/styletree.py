@@ -286,9 +286,8 @@ def extract(pages: DataFrame, config: Config = Config(), id_column: str = "page_
     spark = pages.sparkSession
     common.prepare(spark)
     found = common.stored(nodes(pages, config, url_column, html_column))
-    everywhere_rows = found.where("host = '*'").limit(config.broadcast_nodes + 1).collect()
-    # A tree of all sites that is too large to send is no common template: nodes are then judged by their own sites only.
-    everywhere = _tree(everywhere_rows, config) if len(everywhere_rows) <= config.broadcast_nodes else {}
+    # The tree of all sites is sent whole, however large: sites that tell nothing by themselves are judged by it alone.
+    everywhere = _tree(found.where("host = '*'").collect(), config)
     common_tree = common.Shared(spark, everywhere)
     own = found.where("host <> '*'")
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

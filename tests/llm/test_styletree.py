@@ -43,6 +43,12 @@ def test_broadcast_and_join_agree(spark):
     assert a == b
 
 
+def test_common_tree_judges_small_sites_whatever_its_size(spark):
+    rows = [(i, f"http://h{i}.example/", page(i, f"<div class=body><h2>Head {i}</h2>Own words {i}</div><div class=box>Read this too</div>")) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), styletree.Config(broadcast_nodes=1)).collect()}
+    assert out == {i: f"Head {i}\n\nOwn words {i}" for i in range(12)}
+
+
 def test_copies_of_one_page_keep_their_article(spark):
     rows = [(i, "http://c.example/", "<body><nav><a>Home</a></nav><article><p>Same text</p></article></body>") for i in range(9)]
     out = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
