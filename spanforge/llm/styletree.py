@@ -1,26 +1,31 @@
 """Main text of web pages by a site style tree.
 
-The DOM trees of a site's pages are laid over each other. An element node, named by its path of tags and classes from the root, collects the styles in which it occurs (its sequence of child tags) and the texts of its own. With m pages that have the node, both get an importance from entropies to the base m:
+The DOM trees of a site's pages are laid over each other. An element node is a path of tags from the root, once with and once without the elements' classes. It collects the styles in which it occurs (its sequence of child tags, runs taken as one) and the segments of its own text (what stands between punctuation marks). With m pages that have the node, two importances come from entropies to the base m:
 
 * presentation: the entropy of its styles over the pages; a node that always looks the same has 0;
-* content: 1 less the mean entropy of its texts, each text's entropy being that of the pages which hold it; texts that recur on all pages have 0, texts of a single page 1.
+* content: 1 less the mean entropy of its different segments, a segment on n pages having log n / log m. Segments that recur on all pages have 0, those of a single page 1. As the mean goes over different segments, copies of a page don't make its article a template: they add no segment.
 
-A branch's importance combines its own presentation with that of what is below it, discounted by gamma for each level, and a branch below the threshold is removed from every page of the site. Where a site has too few pages, or all of them are alike, its tree tells nothing, and the tree of all sites together judges. Plain paragraphs and headings of an article are content wherever they stand: copies of a page on a site don't make them a template. Branches that by their tag or class are a menu, header, footer, sidebar, notice, advert, form or comment section are removed whatever their texts.
+A node's importance is 1 - gamma of its presentation and gamma of its content. Nodes below a threshold are noise; their text is removed from every page of the site, and with it each branch that has nothing else.
 
-Statistics are counts over all pages, aggregated before they are shuffled: a site with a third of all pages costs its reducers no more rows than its different texts. Nodes are many fewer than pages; while they are few enough, they are broadcast, else pages are joined with their site's nodes, and Spark splits the partitions of hot sites.
+Every node is judged twice: by its own site, where that has enough pages, and by the tree of all sites laid over each other, which knows menus and notices of sites that are too small to repeat theirs. A site whose tree finds nothing important that the tree of all sites finds important too (all its pages are copies of few) tells nothing by itself. Nodes on fewer than `least_pages` pages aren't judged, and stay. What only the meaning of words could tell, such as comments that never recur, stays too.
+
+Only markup decides besides: heads, scripts, styles, templates and the labels of controls are no text. No tag, class, role or id stands for content or noise; classes only part nodes.
+
+Statistics are counts over all pages, aggregated before they are shuffled: a site with a third of all pages costs its reducers no more rows than it has different segments. Nodes that are noise are broadcast while they are few; else they are joined with the nodes of each page.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,31 +33,29 @@ from . import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 UNFINISHED = re.compile("/?[a-zA-Z]")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACES = re.compile(r"\s+")
-NAME = re.compile(r"[a-z]+")
+SEGMENTS = re.compile(r"(?:[^\w\s,'’\-]|_)+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 #: Tags whose text runs on with what is around them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+P_ENDS_AT = frozenset("button td th li div article section main body".split())
 #: Siblings that end each other, within the nearest of the containers.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Never main text.
-DROPPED_TAGS = frozenset("head script style noscript template title nav aside footer form button select textarea input iframe noembed noframes svg canvas object audio video dialog menu xmp plaintext".split())
-DROPPED_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo related replies sharing share sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-#: Kept inside an article or main element, unless something above them goes.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody tr td th figure figcaption".split())
-ARTICLE = re.compile(r"/(?:article|main)(?:[./]|$)")
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert".split())
+#: What a browser doesn't show as text, or shows on a control.
+NO_TEXT = frozenset("head noscript template select datalist button svg canvas object audio video".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 @dataclass(frozen=True)
 class Config:
     gamma: float = 0.9
-    threshold: float = 0.2  # least importance of a branch that is kept
-    least_pages: int = 4  # of a site, for its own tree to judge a node
+    site_threshold: float = 0.45  # least importance of a node that a site's own tree keeps
+    common_threshold: float = 0.75  # the same of the tree of all sites
+    least_pages: int = 10  # that have a node, for it to be judged
     broadcast_nodes: int = 200_000
 
 
@@ -64,51 +67,61 @@ def site(url: str | None) -> str:
         return ""
 
 
-def key(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def key(text: str, above: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), above)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 @dataclass
 class Block:
-    path: str
-    dropped: bool  # by a tag or class on the way
+    nodes: tuple[int, int]  # of the element that holds it: by tags and classes, by tags alone
     text: str
 
 
 class Page:
-    """Blocks of text in page order, and the child tags of each element, by path. Never raises on malformed markup."""
+    """Blocks of text in page order, and the style of each element. Never raises on malformed markup; memory grows with the markup, however deep it is."""
 
     def __init__(self, markup: str):
         self.blocks: list[Block] = []
-        self.children: dict[str, list[str]] = {}
-        # open block elements: tag, path, dropped
-        self.open: list[tuple[str, str, bool]] = [("", "", False)]
+        self.styles: set[tuple[int, int]] = set()  # (node, style)
+        # open block elements: tag, node with classes, node without, style of each so far, last child of each
+        self.open: list[list] = [["", 0, 0, 0, 0, "", ""]]
+        self.places: dict[str, list[int]] = {}  # of open tags in the list above
+        self.silent = 0  # open elements without text
         self.buffer: list[str] = []
         self._read(markup)
-        self._flush()
+        self._pop_to(0)
 
     def _flush(self) -> None:
         if self.buffer:
             text = SPACES.sub(" ", html.unescape("".join(self.buffer))).strip()
             self.buffer = []
-            if text:
-                _, path, dropped = self.open[-1]
-                self.blocks.append(Block(path, dropped, text))
+            if text and not self.silent:
+                self.blocks.append(Block((self.open[-1][1], self.open[-1][2]), text))
 
     def _pop_to(self, size: int) -> None:
         self._flush()
+        for tag, *nodes in reversed(self.open[size:]):
+            if tag:
+                self.places[tag].pop()
+            self.silent -= tag in NO_TEXT
+            self.styles.add((nodes[0], nodes[2]))
+            self.styles.add((nodes[1], nodes[3]))
         del self.open[size:]
 
-    def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def _nearest(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def _close(self, tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
         """Ends open elements up to the outermost of the given tags above the nearest stop."""
-        at = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                at = i
-            elif self.open[i][0] in stop:
-                break
-        if at is not None:
-            self._pop_to(at)
+        stop = max(map(self._nearest, stops))
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, stop)) < len(p)]
+        if found:
+            self._pop_to(min(found))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
@@ -118,34 +131,31 @@ class Page:
             return
         if tag in VOID and tag != "hr":
             return
+        if tag not in IN_HEAD and (head := self._nearest("head")):
+            self._pop_to(head)
         if tag in CLOSES_P:
-            self._close({"p"}, {"button", "td", "th", "li", "div", "article", "section", "main", "body"})
+            self._close({"p"}, P_ENDS_AT)
         if tag in ENDS:
             self._close(*ENDS[tag])
         self._flush()
         if tag == "hr":
             return
-        _, parent, dropped = self.open[-1]
-        label, gone = tag, tag in DROPPED_TAGS
-        if attributes:
-            values = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)}
-            names = values.get("class", "").lower().split()
-            tokens = {t for n in [*names, values.get("id", "").lower()] for t in NAME.findall(n)}
-            gone = gone or bool(tokens & DROPPED_NAMES) and tag not in ("html", "body", "article", "main") or values.get("role", "").lower() in DROPPED_ROLES or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-            label = ".".join([tag, *sorted(NAME.sub(lambda m: m[0], n) for n in names)])
-        # a site's header, but not the heading of an article
-        gone = gone or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open)
-        path = f"{parent}/{label}"
-        self.children.setdefault(parent, []).append(label)
-        self.open.append((tag, path, dropped or gone))
+        label = tag
+        if attributes and (m := CLASS.search(attributes)):
+            label = ".".join([tag, *sorted(set((m[1] or m[2] or m[3] or "").split()))])
+        above = self.open[-1]
+        # the style is that of the sequence of children, in which a run of equal ones is one
+        if above[5] != label:
+            above[3], above[5] = key(label, above[3]), label
+        if above[6] != tag:
+            above[4], above[6] = key(tag, above[4]), tag
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.silent += tag in NO_TEXT
+        self.open.append([tag, key(label, above[1]), key(tag, above[2] ^ 1), 0, 0, "", ""])
 
     def _end(self, tag: str) -> None:
-        if tag in INLINE:
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop_to(i)
-                return
+        if tag not in INLINE and (at := self._nearest(tag)):
+            self._pop_to(at)
 
     def _read(self, markup: str) -> None:
         at, size = 0, len(markup)
@@ -169,167 +179,131 @@ class Page:
                         at = stop.end() if stop else size
 
 
-def observations(page: Page) -> Iterator[tuple[str, int, int]]:
-    """(path, kind, key) of a page: kind 0 for the style of a node, 1 for a text of its own; once each."""
-    for path, children in page.children.items():
-        runs = [c for i, c in enumerate(children) if not i or children[i - 1] != c]
-        yield path, 0, key(*runs)
-    yield from {(b.path, 1, key(b.text)) for b in page.blocks}
+def segments(text: str) -> set[str]:
+    """What stands between punctuation marks, in lower case."""
+    return {s for x in SEGMENTS.split(text) if (s := x.strip().lower())}
 
 
-def importance(rows: list[tuple[str, int, float, float, float]], gamma: float) -> dict[str, float]:
-    """Of each path of a site. rows: (path, m, presentation, content, texts); presentation and content are in 0..1, the latter counted only where texts is over 0.
+#: Kinds of observations: a style of a node, a segment of its text, and that it has text.
+STYLE, SEGMENT, TEXT = 0, 1, 2
+
+
+def observations(page: Page) -> set[tuple[int, int, int]]:
+    """(node, kind, what) of a page, once each."""
+    found = {(node, STYLE, style) for node, style in page.styles}
+    for b in page.blocks:
+        parts = [key(s) for s in segments(b.text)]
+        for node in b.nodes:
+            found.add((node, TEXT, 0))
+            found.update((node, SEGMENT, p) for p in parts)
+    return found
 
-    Bottom up: a node without children has the importance of its texts. Another has 1 - gamma of it from its styles, and gamma from the most important of its branches and its own texts, so that no branch goes with less important ones beside it.
-    """
-    own = {p: (presentation, content, texts) for p, _, presentation, content, texts in rows}
-    below: dict[str, list[float]] = defaultdict(list)
-    out: dict[str, float] = {}
-    for path in sorted(own, key=lambda p: (-p.count("/"), p)):
-        presentation, content, texts = own[path]
-        parts = [*below.get(path, []), *([content] if texts else [])]
-        kids = below.get(path)
-        if not parts:
-            value = presentation
-        elif not kids:
-            value = content
-        else:
-            value = (1 - gamma) * presentation + gamma * max(parts)
-        out[path] = value
-        if path:
-            below[path.rsplit("/", 1)[0]].append(value)
-    return out
-
-
-def nodes(pages: DataFrame, config: Config, url_column: str, html_column: str) -> DataFrame:
-    """(host, path, m, presentation, content, texts) of each node of each site's tree; host null is the tree of all sites."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("k", pa.int64()), ("n", pa.int64())])
+
+def nodes(pages: DataFrame, config: Config = Config(), url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(host, node, pages, presentation, content, importance) of each node with text, of each site's tree and, under a null host, of the tree of all sites. host and node are hashes; pages are those on which the node has text."""
+    common.prepare(pages.sparkSession)
+    schema = pa.schema([("host", pa.int64()), ("node", pa.int64()), ("kind", pa.int32()), ("what", pa.int64()), ("n", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def emit() -> pa.RecordBatch:
-            out = common.like(schema, [list(c) for c in zip(*((*x, n) for x, n in seen.items()))] or [[]] * 5)
+            out = common.like(schema, [[_signed(x[0]) for x in seen], [_signed(x[1]) for x in seen], [x[2] for x in seen], [_signed(x[3]) for x in seen], list(seen.values())])
             seen.clear()
             return out
 
         for batch in batches:
             for url, markup in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
-                host = site(url)
+                host = key(site(url))
                 seen.update((host, *o) for o in observations(Page(markup)))
-            if len(seen) > 200_000:
-                yield emit()
+                if len(seen) > 200_000:
+                    yield emit()
         yield emit()
 
-    parts = pages.select(F.col(url_column), F.col(html_column)).mapInArrow(apply, "host string, path string, kind int, k long, n long")
-    each = common.stored(parts.groupBy("host", "path", "kind", "k").agg(F.sum("n").alias("n")))
+    parts = pages.select(F.col(url_column), F.col(html_column)).mapInArrow(apply, "host long, node long, kind int, what long, n long")
+    each = common.stored(parts.groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n")))
+    everywhere = each.groupBy("node", "kind", "what").agg(F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("host"), "node", "kind", "what", "n")
 
     def tree(counts: DataFrame) -> DataFrame:
-        of = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-        style = of.where("kind = 0").select("host", "path", F.col("total").alias("m"), F.when(F.col("total") > 1, (F.log("total") - F.col("nlogn") / F.col("total")) / F.log("total")).otherwise(1.0).alias("presentation"))
-        text = of.where("kind = 1").select("host", "path", F.col("total").alias("texts"), "nlogn", "most")
-        both = style.join(text, ["host", "path"], "full_outer")
-        # Pages of a node that has texts only aren't counted apart: at least as many as share its commonest text.
-        return both.select("host", "path", F.coalesce("m", "most").alias("m"), F.coalesce("presentation", F.lit(0.0)).alias("presentation"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("nlogn", F.lit(0.0)).alias("nlogn"))
-
-    everywhere = each.groupBy("path", "kind", "k").agg(F.sum("n").alias("n")).select(F.lit("*").alias("host"), "path", "kind", "k", "n")
-    found = tree(each).unionByName(tree(everywhere))
-    pages_of = each.where("kind = 0 AND path = ''").groupBy("host").agg(F.sum("n").alias("pages"))
-    pages_of = pages_of.unionByName(pages_of.agg(F.sum("pages").alias("pages")).select(F.lit("*").alias("host"), "pages"))
-    # The entropy of a text that n of the site's pages hold is log n, and the mean goes by occurrences.
-    content = F.when((F.col("texts") > 0) & (F.col("pages") > 1), F.lit(1.0) - F.least(F.lit(1.0), F.col("nlogn") / F.col("texts") / F.log("pages"))).otherwise(1.0)
-    return found.join(pages_of, "host", "left").select("host", "path", F.coalesce("pages", "m").alias("m"), "presentation", content.alias("content"), F.col("texts").cast("double").alias("texts"))
-
-
-def _tree(rows: list, config: Config) -> dict[str, float]:
-    return importance([(r["path"], r["m"], r["presentation"], r["content"], r["texts"]) for r in rows], config.gamma)
-
-
-def text_of(page: Page, judge) -> str:
-    """Blocks that neither lie in a dropped element nor in a branch below the threshold; judge tells whether a path's branch is kept."""
-    return "\n\n".join(b.text for b in page.blocks if not b.dropped and judge(b.path))
+        of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+        n, log = F.col("n").cast("double"), F.log(F.col("n"))
+        found = counts.groupBy("host", "node").agg(of(STYLE, n).alias("held"), of(STYLE, n * log).alias("nlogn"), of(SEGMENT, F.lit(1.0)).alias("segments"), of(SEGMENT, log).alias("logs"), of(TEXT, F.col("n")).alias("pages"))
+        presentation = F.when(F.col("held") > 1, F.greatest(F.lit(0.0), F.lit(1.0) - F.col("nlogn") / F.col("held") / F.log("held"))).otherwise(1.0)
+        content = F.when((F.col("pages") > 1) & (F.col("segments") > 0), F.lit(1.0) - F.col("logs") / F.col("segments") / F.log("pages")).otherwise(1.0)
+        importance = F.lit(1 - config.gamma) * F.col("presentation") + F.lit(config.gamma) * F.col("content")
+        return found.where("pages IS NOT NULL").select("host", "node", "pages", presentation.alias("presentation"), content.alias("content")).withColumn("importance", importance)
 
+    return tree(each).unionByName(tree(everywhere))
 
-class Judge:
-    """Whether a path and all above it are important enough."""
 
-    def __init__(self, own: dict[str, float], pages: int, everywhere: dict[str, float], config: Config):
-        telling = pages >= config.least_pages and own.get("", 0.0) >= config.threshold
-        self.own, self.everywhere, self.config = own if telling else {}, everywhere, config
-        self.known: dict[str, bool] = {"": True}
+def noise(found: DataFrame, config: Config = Config()) -> DataFrame:
+    """(host, node) of the nodes that are removed; host null: on every site."""
+    judged = common.stored(found.where(F.col("pages") >= config.least_pages))
+    of_all, own = judged.where("host IS NULL"), judged.where("host IS NOT NULL")
+    good = of_all.where(F.col("importance") >= config.common_threshold).select("node")
+    # sites that find something important which is so everywhere
+    telling = own.where(F.col("importance") >= config.site_threshold).join(good, "node", "left_semi").select("host").distinct()
+    low = own.where(F.col("importance") < config.site_threshold).join(telling, "host", "left_semi")
+    return of_all.where(F.col("importance") < config.common_threshold).select("host", "node").unionByName(low.select("host", "node"))
 
-    def __call__(self, path: str) -> bool:
-        found = self.known.get(path)
-        if found is None:
-            above, label = path.rsplit("/", 1)
-            value = 1.0 if label in PROSE and ARTICLE.search(above) else self.own.get(path, self.everywhere.get(path, 1.0))
-            found = (value >= self.config.threshold or label in ("html", "body", "article", "main")) and self(above)
-            if len(self.known) > 100_000:
-                self.known = {"": True}
-            self.known[path] = found
-        return found
 
-
-def _with_host(slim: DataFrame) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("h", pa.string()), ("host", pa.string())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = batch.column(1).to_pylist()
-            yield common.like(schema, [batch.column(0).to_pylist(), urls, batch.column(2).to_pylist(), [site(u) for u in urls]])
-
-    return slim.mapInArrow(apply, "id long, url string, h string, host string")
+def text_of(page: Page, removed) -> str:
+    """Blocks whose node isn't removed, as either of its two names."""
+    return "\n\n".join(b.text for b in page.blocks if not (removed(b.nodes[0]) or removed(b.nodes[1])))
 
 
 def extract(pages: DataFrame, config: Config = Config(), id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(id, url, text) of every row; text is empty where nothing is left. A null html is empty, a null or odd url has an empty host. Repeated ids and rows are kept. Other columns aren't read."""
+    """(id, url, text) of every row; text is empty where nothing is left.
+
+    A null html is empty, a null or odd url has an empty host, which is a site like any other. Repeated ids and rows are kept, each with its own text, as are null ids. Pages of any length or depth are read whole. Tables of few pages keep what doesn't recur in them. An empty table has no row. Other columns aren't read.
+    """
     spark = pages.sparkSession
     common.prepare(spark)
-    found = common.stored(nodes(pages, config, url_column, html_column))
-    # The tree of all sites is sent whole, however large: sites that tell nothing by themselves are judged by it alone.
-    everywhere = _tree(found.where("host = '*'").collect(), config)
-    common_tree = common.Shared(spark, everywhere)
-    own = found.where("host <> '*'")
-    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     slim = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("h"))
-    few = own.limit(config.broadcast_nodes + 1).count() <= config.broadcast_nodes
-    if few:
-        by_host: dict[str, list] = defaultdict(list)
-        for r in own.collect():
-            by_host[r["host"]].append(r)
-        sent = common.Shared(spark, {h: (_tree(rows, config), max(r["m"] for r in rows)) for h, rows in by_host.items()})
-
-        def trees(host: str, batch: pa.RecordBatch, i: int):
-            return sent.value.get(host, ({}, 0))
+    low = common.stored(noise(nodes(pages, config, url_column, html_column), config))
+    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+    if low.count() <= config.broadcast_nodes:
+        sent = common.Shared(spark, {(r["host"], r["node"]) for r in low.collect()})
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            for batch in batches:
+                urls, texts = batch.column(1).to_pylist(), []
+                for url, markup in zip(urls, common.texts(batch.column(2))):
+                    host = _signed(key(site(url)))
+                    texts.append(text_of(Page(markup), lambda node: (None, _signed(node)) in known or (host, _signed(node)) in known))  # noqa: B023
+                yield common.like(schema, [batch.column(0).to_pylist(), urls, texts])
 
         source = slim
     else:
-        # One row a site, joined to its pages.
-        per_site = common.stored(own.groupBy("host").agg(F.collect_list(F.struct("path", "m", "presentation", "content", "texts")).alias("nodes")))
-        source = _with_host(slim).join(per_site, "host", "left").select("id", "url", "h", "nodes")
+        source = _with_noise(slim, low)
 
-        def trees(host: str, batch: pa.RecordBatch, i: int):
-            rows = batch.column(3)[i].as_py() or []
-            return _tree(rows, config), max((r["m"] for r in rows), default=0)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judges: dict[str, Judge] = {}
-        for batch in batches:
-            urls, texts = batch.column(1).to_pylist(), []
-            for i, (url, markup) in enumerate(zip(urls, common.texts(batch.column(2)))):
-                host = site(url)
-                judge = judges.get(host)
-                if judge is None:
-                    if len(judges) > 1000:
-                        judges.clear()
-                    judge = judges[host] = Judge(*trees(host, batch, i), common_tree.value, config)
-                texts.append(text_of(Page(markup), judge))
-            yield common.like(schema, [batch.column(0).to_pylist(), urls, texts])
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [text_of(Page(markup), lambda node, gone=frozenset(gone or ()): _signed(node) in gone) for markup, gone in zip(common.texts(batch.column(2)), batch.column(3).to_pylist())]
+                yield common.like(schema, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts])
 
     out = source.mapInArrow(apply, "id long, url string, text string")
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text")
 
 
+def _with_noise(slim: DataFrame, low: DataFrame) -> DataFrame:
+    """slim with the removed ones of each page's nodes. Pages are known by hashes of their url and html, so that equal ones are asked for once; a page's nodes are joined with the removed ones, and nothing of a site is gathered but what one page has."""
+    schema = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("node", pa.int64())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page, _signed(key(site(url))), _signed(node)) for page, url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.texts(batch.column(2))) for node in sorted({n for b in Page(markup).blocks for n in b.nodes})]
+            yield common.like(schema, [[r[i] for r in rows] for i in range(3)])
+
+    page = F.xxhash64("url", "h")
+    asked = slim.select(page.alias("page"), "url", "h").mapInArrow(apply, "page long, host long, node long").distinct()
+    of_all = low.where("host IS NULL").select("node")
+    hit = asked.join(of_all, "node", "left_semi").unionByName(asked.join(low.where("host IS NOT NULL"), ["host", "node"], "left_semi").select(asked.columns))
+    gone = hit.groupBy("page").agg(F.collect_set("node").alias("gone"))
+    return slim.withColumn("page", page).join(gone, "page", "left").select("id", "url", "h", "gone")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
