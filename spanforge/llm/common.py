@@ -48,16 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run the plan once and go on from a replicated copy in the shared folder."""
+def parts(rows: int) -> int:
+    """Partitions for so many short rows. Small tables that are written over and over again would else be mostly files."""
+    return max(1, -(-rows // 100_000))
+
+
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Run the plan once and go on from a replicated copy in the shared folder, in at most so many partitions."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(most) if most else df).checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, most: int | None = None) -> DataFrame:
     """As cut(), but as Parquet: smaller, and later reads skip columns. For larger tables."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/spanforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(most) if most else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

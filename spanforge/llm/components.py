@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """edges: (u, v) with u > v. Large: each node's larger neighbours are linked to the least of its neighbours and itself; small: its smaller neighbours and itself are."""
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
         # only larger neighbours are linked anew: the edges themselves, seen from their smaller end
         seen = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
         out = seen.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
-        least = common.cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+        least = common.cut(edges.groupBy("u").agg(F.min("v").alias("m")), parts)
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") > F.col("v")).distinct()
 
@@ -28,13 +28,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of each node that has an edge; component is the smallest node that can be reached.
 
-    edges: two long columns a and b, in any order and number of times; loops are left out. Raises if the rounds don't end.
+    edges: two long columns a and b, in any order and number of times; loops are left out. The number of rounds grows with the logarithm of the longest chain, so 60 are never reached in practice; it raises if they are.
     """
     a, b = edges.columns[:2]
     now = common.cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct())
+    size = now.count()
+    if not size:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    parts = common.parts(size)
     before = None
     for _ in range(most_rounds):
-        now = common.cut(_star(_star(now, True), False))
+        now = common.cut(_star(_star(now, True, parts), False, parts), parts)
         # a star around each minimum: nothing left that is both above one node and below another
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Letters, and some numbers such as fractions, which aren't.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class Config:
     window: int = 256  # bytes
@@ -134,7 +139,7 @@ def predict(net: Network | None, data: list[str]) -> tuple[list[str], list[float
     langs, scores = ["und"] * len(data), [0.0] * len(data)
     if net is None:
         return langs, scores
-    rows = [i for i, x in enumerate(data) if LETTER.search(x)]
+    rows = [i for i, x in enumerate(data) if has_letter(x)]
     group: list[int] = []
     held = 0
 
@@ -162,7 +167,7 @@ def predict(net: Network | None, data: list[str]) -> tuple[list[str], list[float
 def sample(docs: DataFrame, config: Config = Config()) -> tuple[list[str], list[str]]:
     """A bounded, repeatable sample of labelled windows, alike in size for each language.
 
-    docs needs doc_id, text and lang. Rows are picked by a hash of the text, so that extra copies add nothing; a window begins at a place that the hash picks.
+    docs needs doc_id, text and lang. Rows are picked by a hash of the text, so that extra copies add nothing. Of each picked text one window of window_chars characters is fitted on, which begins at a place that the hash picks: a bound of the sample, not of what is identified. Null languages and texts without a letter aren't learned from; a text under two languages is learned as both.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -174,12 +179,15 @@ def sample(docs: DataFrame, config: Config = Config()) -> tuple[list[str], list[
     room = F.greatest(F.length("text") - F.lit(config.window_chars), F.lit(0)) + F.lit(1)
     picked = known.where(F.pmod(h, F.lit(scale)) < limit[F.col("lang")]).select("lang", F.substring("text", (F.pmod(F.shiftrightunsigned(h, 30), room) + F.lit(1)).cast("int"), F.lit(config.window_chars)).alias("text"))
     rows = picked.distinct().limit(2 * config.sample_per_language * len(counts)).collect()
-    rows = sorted((r["lang"], r["text"]) for r in rows if LETTER.search(r["text"]))
+    rows = sorted((r["lang"], r["text"]) for r in rows if has_letter(r["text"]))
     return [t for _, t in rows], [lang for lang, _ in rows]
 
 
 def identify(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row; columns besides these two aren't read. A null text has no letter."""
+    """(id, lang_pred, score) of every row; columns besides these two aren't read.
+
+    A null text has no letter, and texts without one are "und" with score 0, as all are without a network. Of languages equally likely the first by name is taken. Texts of any length are read whole. Repeated ids and null ids are rows of their own. An empty table has no row.
+    """
     common.prepare(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 

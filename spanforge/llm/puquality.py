@@ -32,7 +32,7 @@ class Config:
     rate: float = 0.01
     decay: float = 1e-4
     halvings: int = 3
-    shrink: float = 0.97  # the prior's estimate is a bound from above
+    errors: float = 1.0  # standard errors by which the prior lies below its bound from above
     threshold: float = 0.3
     seed: int = 11
 
@@ -119,13 +119,13 @@ def start(rng: np.random.Generator, width: int, hidden: int) -> list[np.ndarray]
 
 
 def estimate_prior(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Generator) -> float:
-    """Share of positives among the unlabelled: the mean bound of several random halvings, times config.shrink."""
+    """Share of positives among the unlabelled: the mean over several random halvings of a bound from above, less its standard error. Nothing is known of negatives here."""
     bounds = [_bound(zp, zu, config, rng) for _ in range(config.halvings)]
-    return float(np.clip(config.shrink * np.mean(bounds), 0.02, 0.98))
+    return float(np.clip(np.mean([b * (1 - config.errors * e) for b, e in bounds]), 0.02, 0.98))
 
 
-def _bound(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Generator) -> float:
-    """A bound from above of the share of positives among the unlabelled.
+def _bound(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Generator) -> tuple[float, float]:
+    """A bound from above of the share of positives among the unlabelled, and its relative standard error.
 
     A network tells positives from unlabelled texts on one half. On the other half, the share of the unlabelled above any threshold, over that of the positives, bounds the prior from above; the bound that is least with its standard error added is taken, so that a threshold above which little lies isn't chosen by chance.
     """
@@ -143,12 +143,13 @@ def _bound(zp: np.ndarray, zu: np.ndarray, config: Config, rng: np.random.Genera
     adam(params, gradient, config.epochs // 2, config.rate)
     p, u = (np.sort(network(x, params)[1]) for x in (zp[a:], zu[b:]))
     if not len(p) or not len(u):
-        return 0.5
+        return 0.5, 0.0
     cuts = np.quantile(p, np.linspace(0.02, 0.75, 74))
     n_p, n_u = (len(x) - np.searchsorted(x, cuts) for x in (p, u))
     bound = (n_u / len(u)) / (n_p / len(p))
-    least = np.argmin(bound * (1 + np.sqrt(1 / n_p + 1 / np.maximum(n_u, 1))))
-    return float(bound[least])
+    error = np.sqrt(1 / n_p + 1 / np.maximum(n_u, 1))
+    least = np.argmin(bound * (1 + error))
+    return float(bound[least]), float(min(error[least], 1.0))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, config: Config = Config()) -> Model | None:
@@ -180,7 +181,10 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, config: Config = Config(
 
 
 def sample(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> tuple[np.ndarray, np.ndarray]:
-    """Features of bounded samples of trusted positives (quality 1) and of unlabelled texts, taken from documents with the ids that may be learned from. Features are made on the executors."""
+    """Features of bounded samples of trusted positives (quality 1) and of unlabelled texts, taken from documents with the ids that may be learned from.
+
+    Features are made where the texts are, and only they are gathered. A document labelled both 1 and 0 is a positive, as no negative label is read; null ids and labels count for nothing, null texts as empty.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
     out = pa.schema([("kind", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -192,9 +196,11 @@ def sample(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> tup
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     n_good, n_all = good.count(), docs.count()
     good = common.hash_sample(good, F.col("doc_id"), config.seed, config.positives / max(n_good, 1)).limit(2 * config.positives)
-    p = docs.join(F.broadcast(good), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text").limit(2 * config.positives)
-    u = common.hash_sample(docs, F.col("doc_id"), config.seed + 1, config.unlabelled / max(n_all, 1)).select(F.lit(0).alias("kind"), "text").limit(2 * config.unlabelled)
-    rows = p.unionByName(u).mapInArrow(apply, "kind int, x array<double>").collect()
+    p = docs.join(F.broadcast(good), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
+    u = common.hash_sample(docs, F.col("doc_id"), config.seed + 1, config.unlabelled / max(n_all, 1)).select(F.lit(0).alias("kind"), "text")
+    rows = []
+    for part, bound in ((p, config.positives), (u, config.unlabelled)):
+        rows += part.mapInArrow(apply, "kind int, x array<double>").limit(2 * bound).collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES)
     kind = np.array([r["kind"] for r in rows], int)
     order = np.lexsort(np.c_[x, kind].T) if len(rows) else []
@@ -211,7 +217,10 @@ def probabilities(model: Model | None, texts: list[str]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) of every row; other columns aren't read. A null text counts as empty. Without a model every score is 0.5."""
+    """(id, score) of every row; other columns aren't read. A null text counts as empty. Without a model every score is 0.5.
+
+    Texts of any length are read whole. Repeated ids and null ids are rows of their own; equal texts have equal scores. An empty table has no row.
+    """
     common.prepare(docs.sparkSession)
     out = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
@@ -224,7 +233,7 @@ def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = Config.threshold, text_column: str = "text") -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns, whatever their ids; rows of one id are judged each by its own text, null texts as empty ones. Without a model all rows stay. An empty table stays empty."""
     common.prepare(docs.sparkSession)
     at = docs.columns.index(text_column)
 

@@ -143,6 +143,13 @@ def test_similar_texts_keep_one(spark):
     assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_are_judged_apart(spark):
+    text = lambda n: " ".join(f"{chr(97 + n)}{i}" for i in range(10))
+    rows = [(3, text(0)), (7, text(0)), (7, text(1)), (17, text(2)), (17, text(3)), (17, text(2)), (None, text(4)), (None, text(4)), (23, text(4)), (22, None), (21, "")]
+    kept = simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, text(4)), (-1, text(4)), (3, text(0)), (7, text(1)), (17, text(2)), (17, text(3)), (21, ""), (23, text(4))]
+
+
 def test_a_group_hangs_together_by_a_text_in_its_middle(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
