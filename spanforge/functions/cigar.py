@@ -34,9 +34,13 @@ def is_spliced(cigar: Column) -> Column:
     return F.coalesce(cigar.rlike("(^|[A-Z=])0*[1-9][0-9]*N"), F.lit(False))
 
 
+#: Operations that are walked at once. An array that grows by one is copied, so a long CIGAR is walked in pieces, and its cost stays in proportion to its length.
+PIECE = 64
+
+
 def _walk(pos: Column, ops: Column, keep: str, advance: str) -> Column:
     """Spans of the operations in keep, when those in advance move along the reference."""
-    start = F.struct(pos.cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
+    nothing = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
 
     def step(state: Column, x: Column) -> Column:
         here = F.struct(state["at"].alias("start"), (state["at"] + x["n"] - 1).alias("end"))
@@ -45,7 +49,19 @@ def _walk(pos: Column, ops: Column, keep: str, advance: str) -> Column:
             F.when(x["op"].isin(*keep) & (x["n"] > 0), F.concat(state["spans"], F.array(here))).otherwise(state["spans"]).alias("spans"),
         )
 
-    return F.aggregate(ops, start, step, lambda s: s["spans"])
+    def walked(at: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(at.cast("long").alias("at"), nothing.alias("spans")), step, lambda s: s["spans"])
+
+    def begun(state: Column, piece: Column) -> Column:
+        """Where pieces begin."""
+        moved = F.aggregate(piece, F.lit(0).cast("long"), lambda t, x: t + F.when(x["op"].isin(*advance), x["n"]).otherwise(0))
+        return F.struct((state["at"] + moved).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(ops) - 1) / F.lit(PIECE)).cast("int")), lambda i: F.slice(ops, i * PIECE + 1, PIECE))
+    first = F.struct(pos.cast("long").alias("at"), F.expr("CAST(array() AS array<bigint>)").alias("starts"))
+    starts = F.aggregate(pieces, first, begun, lambda s: s["starts"])
+    long = F.flatten(F.zip_with(pieces, starts, lambda piece, at: walked(at, piece)))
+    return F.when(F.size(ops) <= PIECE, walked(pos, ops)).otherwise(long)
 
 
 def blocks(pos: Column, cigar: Column, ops: Column | None = None) -> Column:

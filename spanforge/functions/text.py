@@ -58,21 +58,19 @@ def normalised_type(col: Column) -> Column:
     return F.translate(F.lower(col), "- ", "__")
 
 
+def _looked_up(normalised: Column, names: dict[str, str]) -> Column:
+    """One lookup, so that what the name is made of is worked out once."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), normalised)
+
+
 def small_rna_category(normalised: Column) -> Column:
-    found = None
-    for key, name in SMALL_RNA.items():
-        found = F.when(normalised == key, name) if found is None else found.when(normalised == key, name)
-    return found
+    return _looked_up(normalised, SMALL_RNA)
 
 
 def gene_category(normalised: Column) -> Column:
     """protein_coding, a small RNA, lncRNA, pseudogene, or null."""
-    return (
-        F.when(normalised == "protein_coding", "protein_coding")
-        .when(small_rna_category(normalised).isNotNull(), small_rna_category(normalised))
-        .when(normalised.isin(*LONG_NONCODING), "lncRNA")
-        .when(normalised.contains("pseudogene"), "pseudogene")
-    )
+    names = {"protein_coding": "protein_coding"} | SMALL_RNA | dict.fromkeys(LONG_NONCODING, "lncRNA")
+    return F.coalesce(_looked_up(normalised, names), F.when(normalised.contains("pseudogene"), "pseudogene"))
 
 
 def region(col: Column) -> Column:

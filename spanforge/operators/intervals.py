@@ -5,13 +5,15 @@ Range joins get an equi key from bins: the coordinate axis is cut into bins of a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: About the median length of the intervals that are joined is a good size.
 BIN = 1000
+#: Bins that an interval is copied to at most; wider intervals are joined by bins this many times as wide.
+MOST_BINS = 4096
 
 
 def bin_of(position: Column, size: int) -> Column:
@@ -44,26 +46,43 @@ def _check(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return right
 
 
+def _by_width(intervals: DataFrame, start: str, end: str, size: int, join: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """join(intervals, size of bins), with those that touch very many bins joined by themselves, by wider ones. Whether there are such is looked up first; there rarely are."""
+    reach = F.col(end) - F.col(start)
+    widest = size * MOST_BINS
+    if intervals.where(reach >= widest).isEmpty():
+        return join(intervals, size)
+    return join(intervals.where(reach < widest), size).unionAll(_by_width(intervals.where(reach >= widest), start, end, widest, join))
+
+
 def point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], position: str, start: str, end: str, size: int = BIN, extra: Column | None = None) -> DataFrame:
     """Each point with each interval that holds it (closed), under equal keys: many to many, each pair once.
 
     Points stand in one bin and aren't copied; intervals are. extra is a further condition on a pair. Null positions, ends and keys match nothing.
     """
     _check(points, intervals, keys)
-    left = _named(points, keys, "l").withColumn("__lb", bin_of(F.col(position), size))
-    right = _named(intervals, keys, "r").withColumn("__rb", F.explode(bins_of(F.col(start), F.col(end), size))).drop(*keys)
-    found = left.join(right, _on(left, right, keys)).where((F.col(position) >= F.col(start)) & (F.col(position) <= F.col(end)))
-    return _bare(found if extra is None else found.where(extra), keys)
+
+    def join(some: DataFrame, size: int) -> DataFrame:
+        left = _named(points, keys, "l").withColumn("__lb", bin_of(F.col(position), size))
+        right = _named(some, keys, "r").withColumn("__rb", F.explode(bins_of(F.col(start), F.col(end), size))).drop(*keys)
+        found = left.join(right, _on(left, right, keys)).where((F.col(position) >= F.col(start)) & (F.col(position) <= F.col(end)))
+        return _bare(found if extra is None else found.where(extra), keys)
+
+    return _by_width(intervals, start, end, size, join)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range: tuple[str, str], right_range: tuple[str, str], size: int = BIN) -> DataFrame:
-    """Pairs of intervals that share a base, each once: a pair is taken in the bin where the later of the two starts."""
+    """Pairs of intervals that share a base, each once: a pair is taken in the bin where the later of the two starts. Intervals on the left are copied to each of their bins, however wide they are."""
     _check(left, right, keys)
     (a, b), (c, d) = left_range, right_range
-    x = _named(left, keys, "l").withColumn("__lb", F.explode(bins_of(F.col(a), F.col(b), size)))
-    y = _named(right, keys, "r").withColumn("__rb", F.explode(bins_of(F.col(c), F.col(d), size))).drop(*keys)
-    first_shared = bin_of(F.greatest(F.col(a), F.col(c)), size)
-    return _bare(x.join(y, _on(x, y, keys)).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__lb") == first_shared)), keys)
+
+    def join(some: DataFrame, size: int) -> DataFrame:
+        x = _named(left, keys, "l").withColumn("__lb", F.explode(bins_of(F.col(a), F.col(b), size)))
+        y = _named(some, keys, "r").withColumn("__rb", F.explode(bins_of(F.col(c), F.col(d), size))).drop(*keys)
+        first_shared = bin_of(F.greatest(F.col(a), F.col(c)), size)
+        return _bare(x.join(y, _on(x, y, keys)).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("__lb") == first_shared)), keys)
+
+    return _by_width(right, c, d, size, join)
 
 
 def containment_join(inner: DataFrame, outer: DataFrame, keys: Sequence[str], inner_range: tuple[str, str], outer_range: tuple[str, str], size: int = BIN, stretch: int = 0) -> DataFrame:
@@ -71,9 +90,13 @@ def containment_join(inner: DataFrame, outer: DataFrame, keys: Sequence[str], in
     _check(inner, outer, keys)
     (a, b), (c, d) = inner_range, outer_range
     low, high = F.col(c) - F.lit(stretch // 2), F.col(d) + F.lit(stretch - stretch // 2)
-    x = _named(inner, keys, "l").withColumn("__lb", bin_of(F.col(a), size))
-    y = _named(outer, keys, "r").withColumn("__rb", F.explode(bins_of(low, high, size))).drop(*keys)
-    return _bare(x.join(y, _on(x, y, keys)).where((low <= F.col(a)) & (high >= F.col(b))), keys)
+
+    def join(some: DataFrame, size: int) -> DataFrame:
+        x = _named(inner, keys, "l").withColumn("__lb", bin_of(F.col(a), size))
+        y = _named(some, keys, "r").withColumn("__rb", F.explode(bins_of(low, high, size))).drop(*keys)
+        return _bare(x.join(y, _on(x, y, keys)).where((low <= F.col(a)) & (high >= F.col(b))), keys)
+
+    return _by_width(outer, c, d, size, join)
 
 
 def band_join(points: DataFrame, features: DataFrame, keys: Sequence[str], position: str, anchor: str, strand: str, upstream: int, downstream: int) -> DataFrame:
@@ -101,14 +124,53 @@ def hit_audit(left: DataFrame, hits: DataFrame, id_columns: Sequence[str], carry
     return both.withColumn("n_hits", n.cast("long")).withColumn("outcome", F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous"))
 
 
-def merge_spans(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:
-    """(keys, start, end): unions of intervals of which each starts at most `gap` after the furthest end before it. gap 1 joins abutting closed intervals; gap 0 does for half-open ones."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) <= reached + F.lit(gap), 0).otherwise(1)
-    run = F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = df.select(*keys, F.col(start), F.col(end)).withColumn("__fresh", fresh).withColumn("__run", run)
-    return merged.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
+def _reached(df: DataFrame, keys: Sequence[str], start: str, end: str, size: int | None) -> DataFrame:
+    """df with __reached, the furthest end of the rows before, in order of start and end; null for the first.
+
+    With a size the rows of a key are dealt by bins of their starts: what the bins before reach is worked out from one row for each bin, so that no task sorts a whole key.
+    """
+    if size is None:
+        order = Window.partitionBy(*keys).orderBy(start, end)
+        return df.withColumn("__reached", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    binned = df.withColumn("__bin", bin_of(F.col(start), size))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(start, end)
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(binned.groupBy(*keys, "__bin").agg(F.max(end).alias("__end")).withColumn("__carried", F.max("__end").over(before)).drop("__end"), keys)
+    local = binned.withColumn("__local", F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    both = local.join(carried, _same_bin(keys))
+    return both.withColumn("__reached", F.greatest("__local", "__carried")).drop("__local", "__carried", "__cbin", *[f"__c{i}" for i in range(len(keys))])
+
+
+def _carried(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys and bin under names that can't clash."""
+    return df.withColumnsRenamed({k: f"__c{i}" for i, k in enumerate(keys)} | {"__bin": "__cbin"})
+
+
+def _same_bin(keys: Sequence[str]) -> Column:
+    on = F.col("__bin").eqNullSafe(F.col("__cbin"))
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__c{i}"))
+    return on
+
+
+def merge_spans(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", gap: int = 1, size: int | None = None) -> DataFrame:
+    """(keys, start, end): unions of intervals of which each starts at most `gap` after the furthest end before it. gap 1 joins abutting closed intervals; gap 0 does for half-open ones.
+
+    size: for keys with very many intervals, such as chromosomes, which are then sorted by bins of that size and not whole.
+    """
+    placed = _reached(df.select(*keys, F.col(start), F.col(end)), keys, start, end, size)
+    fresh = placed.withColumn("__fresh", F.when(F.col(start) <= F.col("__reached") + F.lit(gap), 0).otherwise(1))
+    if size is None:
+        order = Window.partitionBy(*keys).orderBy(start, end)
+        numbered = fresh.withColumn("__run", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        # of equal intervals the one that begins a run comes first
+        inside = Window.partitionBy(*keys, "__bin").orderBy(start, end, F.desc("__fresh"))
+        before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        carried = _carried(fresh.groupBy(*keys, "__bin").agg(F.sum("__fresh").alias("__n")).withColumn("__runs", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), keys)
+        local = fresh.withColumn("__in", F.sum("__fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        numbered = local.join(carried, _same_bin(keys)).withColumn("__run", F.col("__in") + F.col("__runs"))
+    return numbered.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 
 def gaps(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", keep_empty: bool = False) -> DataFrame:
@@ -119,17 +181,16 @@ def gaps(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "e
     return found if keep_empty else found.where(F.col(start) <= F.col(end))
 
 
-def subtract(wholes: DataFrame, parts: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, start, end): each whole without the parts of the same keys. Parts may overlap and reach out; a whole without a part stays as it is. Closed intervals; one whole for each key."""
+def subtract(wholes: DataFrame, parts: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", size: int | None = None) -> DataFrame:
+    """(keys, start, end): each whole without the parts of the same keys. Parts may overlap and reach out; a whole without a part stays as it is. Closed intervals; one whole for each key. size: as in merge_spans()."""
     inside = parts.select(*keys, F.col(start).alias("__ps"), F.col(end).alias("__pe"))
     whole = wholes.select(*keys, F.col(start).alias("__ws"), F.col(end).alias("__we"))
     cut = whole.join(inside, list(keys), "left").where(F.col("__ps").isNull() | ((F.col("__pe") >= F.col("__ws")) & (F.col("__ps") <= F.col("__we"))))
     # Wholes whose parts all lie outside are lost above, and come back here untouched.
     touched = cut.select(*keys).distinct()
     untouched = whole.join(touched, list(keys), "left_anti").select(*keys, F.col("__ws").alias(start), F.col("__we").alias(end))
-    order = Window.partitionBy(*keys).orderBy("__ps", "__pe")
-    before = F.coalesce(F.max("__pe").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.col("__ws"))
-    heads = cut.withColumn("__from", F.greatest(before, F.col("__ws"))).select(*keys, F.col("__from").alias(start), F.coalesce(F.col("__ps") - 1, F.col("__we")).alias(end))
+    placed = _reached(cut, keys, "__ps", "__pe", size)
+    heads = placed.withColumn("__from", F.greatest(F.coalesce(F.col("__reached") + 1, F.col("__ws")), F.col("__ws"))).select(*keys, F.col("__from").alias(start), F.coalesce(F.col("__ps") - 1, F.col("__we")).alias(end))
     tails = cut.where(F.col("__ps").isNotNull()).groupBy(*keys).agg(F.max("__pe").alias("__last"), F.max("__we").alias("__we")).select(*keys, (F.col("__last") + 1).alias(start), F.col("__we").alias(end))
     return heads.unionByName(tails).where(F.col(start) <= F.col(end)).unionByName(untouched)
 

@@ -46,3 +46,19 @@ def stack_lanes(rows: DataFrame, order: Sequence[str], size: str, gap: int = 2)
     """rows, one for each group, with y_offset: the lanes and gaps of all groups before it, in order. The rows are as many as samples."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("y_offset", F.coalesce(F.sum(F.col(size) + gap).over(before), F.lit(0)))
+
+
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "row_rank") -> DataFrame:
+    """df with the place of each row in the given order, from 1, as a writer of sorted rows would put it.
+
+    Rows are sorted in ranges; only the number of rows of each range is gathered. Rows that are equal in the order have any of their places. The sorted rows are kept.
+    """
+    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__at", 33)
+    before, up_to = {}, 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        before[r["part"]] = up_to
+        up_to += r["n"]
+    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0))
+    row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, (offsets[part] + row + 1).cast("long")).drop("__at")

@@ -43,10 +43,17 @@ def replicate_summary(df: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 
 def percentile_cutoffs(df: DataFrame, value: str, low: int, high: int) -> DataFrame:
-    """(percentile, cutoff), by linear interpolation; one aggregate for all. Cutoffs are rounded to nine places, so that the last bit of an interpolation decides nothing."""
-    points = [p / 100 for p in range(low, high + 1)]
-    found = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in points])).alias("c"))
-    return found.select(F.posexplode_outer("c").alias("i", "cutoff")).where(F.col("cutoff").isNotNull()).select((F.col("i") + low).cast("int").alias("percentile"), F.round("cutoff", 9).alias("cutoff"))
+    """(percentile, cutoff), by linear interpolation. Rows are counted by value first, and the running counts of values, which may spill, tell where each percentile lies. Cutoffs are rounded to nine places, so that the last bit of an interpolation decides nothing."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy("__v")
+    placed = counts.withColumn("__up", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.lead("__v").over(order))
+    total = counts.agg(F.sum("__n").alias("__total"))
+    wanted = total.where(F.col("__total") > 0).select("__total", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("percentile")).withColumn("__at", F.lit(1.0) * F.col("percentile") / 100 * (F.col("__total") - 1))
+    # rows are numbered from 0: a value with `up` rows up to it stands last at up - 1
+    here = placed.join(F.broadcast(wanted), (F.floor("__at") >= F.col("__up") - F.col("__n")) & (F.floor("__at") < F.col("__up")))
+    after = F.when((F.floor("__at") + 1 < F.col("__up")) | F.col("__next").isNull(), F.col("__v")).otherwise(F.col("__next"))
+    share = F.col("__at") - F.floor("__at")
+    return here.select(F.col("percentile").cast("int").alias("percentile"), F.round(F.col("__v") + (after - F.col("__v")) * share, 9).alias("cutoff"))
 
 
 def threshold_curve(df: DataFrame, value: str, present: Column, other: str, low: int, high: int, thinning: Column) -> DataFrame:

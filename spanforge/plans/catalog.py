@@ -1,13 +1,13 @@
 """Queries of the engine's own operators over the supplied tables, each with SQL that gives the same rows.
 
-Orders stand for features on five chromosomes and two strands, line items for points and blocks: a line's block starts on its ship day and is as long as its quantity.
+Orders stand for features on 25 chromosomes and two strands, line items for points and blocks: a line's block starts on its ship day and is as long as its quantity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import cigar, coerce, orient, text
@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Days that a bin holds: about the median length of the features and blocks.
 DAYS = 32
+#: Bins that are sorted at once where the spans of a chromosome are merged.
+BINS = 8
 KEYS = ("chrom", "strand")
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
@@ -41,25 +43,25 @@ def _day(col: Column) -> Column:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    orders = table(spark, sf_dir, "orders")
     start = _day(F.col("o_orderdate"))
-    return orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("chrom"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("s"), (start + F.col("o_custkey") % 20 + 2).alias("e"), F.col("o_totalprice").alias("score"))
+    return orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("chrom"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("s"), (start + F.col("o_custkey") % 20 + 2).alias("e"), F.col("o_totalprice").alias("score"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     day = _day(F.col("l_shipdate"))
     sample = F.concat(F.col("l_returnflag"), F.lit("_"), (F.col("l_linenumber") % 3 + 1).cast("string"))
-    return lines.select(*LINE, (F.col("l_suppkey") % 5).alias("chrom"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), day.alias("p"), (day + F.col("l_quantity").cast("long") - 1).alias("q"), F.col("l_quantity").cast("long").alias("n"), F.col("l_returnflag").alias("condition"), sample.alias("sample"))
+    return lines.select(*LINE, (F.col("l_suppkey") % 25).alias("chrom"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), day.alias("p"), (day + F.col("l_quantity").cast("long") - 1).alias("q"), F.col("l_quantity").cast("long").alias("n"), F.col("l_returnflag").alias("condition"), sample.alias("sample"))
 
 
 FEAT = """feat AS (
-  SELECT o_orderkey AS id, CAST(o_custkey % 5 AS BIGINT) AS chrom, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  SELECT o_orderkey AS id, CAST(o_custkey % 25 AS BIGINT) AS chrom, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
     CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 AS BIGINT) AS s,
     CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 20 + 2 AS BIGINT) AS e, o_totalprice AS score
-  FROM orders WHERE o_orderpriority = '1-URGENT')"""
+  FROM orders)"""
 BLOCK = """block AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_suppkey % 5 AS BIGINT) AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_suppkey % 25 AS BIGINT) AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS BIGINT) AS p,
     CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS BIGINT) AS q,
     CAST(l_quantity AS BIGINT) AS n, l_returnflag AS condition, l_returnflag || '_' || (l_linenumber % 3 + 1) AS sample
@@ -131,9 +133,15 @@ def q_span_residual(spark, sf_dir):
 FROM block JOIN feat USING (chrom, strand) WHERE p <= e AND s <= q GROUP BY id"""
 )
 def q_interval_overlap(spark, sf_dir):
-    pairs = intervals.overlap_join(_points(spark, sf_dir), _right(features(spark, sf_dir)), KEYS, ("p", "q"), ("s", "e"), DAYS)
+    """Orders are counted by their merged spans: of an order's spans only the first that reaches a feature is joined to it, so that nothing need be made distinct."""
+    right = _right(features(spark, sf_dir))
+    pairs = intervals.overlap_join(_points(spark, sf_dir).select(*KEYS, "p", "q"), right, KEYS, ("p", "q"), ("s", "e"), DAYS)
     low, high = orient.clip(F.col("p"), F.col("q"), F.col("s"), F.col("e"))
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("overlaps"), F.count_distinct("l_orderkey").alias("orders"), F.sum(high - low + 1).alias("bases"))
+    sums = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("overlaps"), F.sum(high - low + 1).alias("bases"))
+    spans = intervals.merge_spans(_points(spark, sf_dir).withColumn("o", F.col("l_orderkey")), [*KEYS, "o"], "p", "q")
+    reached = F.lag("q").over(Window.partitionBy(*KEYS, "o").orderBy("p"))
+    first = intervals.overlap_join(spans.withColumn("reached", reached), right, KEYS, ("p", "q"), ("s", "e"), DAYS).where(F.col("reached").isNull() | (F.col("reached") < F.col("s")))
+    return sums.join(first.groupBy("id").agg(F.count(F.lit(1)).alias("orders")), "id")
 
 
 @query(
@@ -148,7 +156,7 @@ def q_category_priority(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("mito", "snoRNA", "miRNA", "lncRNA", "intron", "genic")])
     kinds = features(spark, sf_dir).select("chrom", "s", "e", F.get(names, (F.col("id") % 6).cast("int")).alias("kind"))
     # A category is overlapped or not, so its intervals may be merged first: a third of the rows.
-    merged = intervals.merge_spans(kinds, ["chrom", "kind"], "s", "e")
+    merged = intervals.merge_spans(kinds, ["chrom", "kind"], "s", "e", size=BINS * DAYS)
     lines = _points(spark, sf_dir).select(*LINE, "chrom", "p", "q")
     pairs = intervals.overlap_join(lines, merged, ["chrom"], ("p", "q"), ("s", "e"), DAYS)
     found = pairs.groupBy(*LINE).agg(F.collect_set("kind").alias("kinds"))
@@ -165,11 +173,13 @@ def q_containment_stretch(spark, sf_dir):
     return held.groupBy("id").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("bases"))
 
 
-@query(f"""{BOTH} SELECT id, min(p) AS position FROM (SELECT DISTINCT chrom, p, l_orderkey FROM block WHERE n = 50) b JOIN feat USING (chrom) WHERE p BETWEEN s AND e GROUP BY id HAVING count(*) = 1""")
+@query(f"""{BOTH} SELECT id, CAST(count(*) AS BIGINT) AS points, CASE WHEN count(*) = 1 THEN min(p) END AS position FROM (SELECT DISTINCT chrom, p, l_orderkey FROM block) b JOIN feat USING (chrom) WHERE p BETWEEN s AND e GROUP BY id""")
 def q_strand_blind_single(spark, sf_dir):
-    points = blocks(spark, sf_dir).where("n = 50").select("chrom", "p", "l_orderkey").distinct()
+    """Points of each feature on either strand, and the point of those that hold a single one."""
+    points = blocks(spark, sf_dir).select("chrom", "p", "l_orderkey").distinct()
     found = intervals.point_join(points, features(spark, sf_dir).select("chrom", "id", "s", "e"), ["chrom"], "p", "s", "e", DAYS)
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("position")).where("n = 1").drop("n")
+    counted = found.groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.min("p").alias("position"))
+    return counted.withColumn("position", F.when(F.col("points") == 1, F.col("position")))
 
 
 _MERGED = """, flagged AS (SELECT {keys}, {s} AS s, {e} AS e, CASE WHEN {s} <= max({e}) OVER (PARTITION BY {keys} ORDER BY {s}, {e} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS fresh FROM {source}),
@@ -179,7 +189,7 @@ merged AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM numbered GROUP BY {keys}
 
 @query(f"WITH {FEAT}{_MERGED.format(keys='chrom, strand', s='s', e='e', gap=1, source='feat')} SELECT chrom, strand, s, e FROM merged")
 def q_merge_spans(spark, sf_dir):
-    return intervals.merge_spans(features(spark, sf_dir), KEYS, "s", "e")
+    return intervals.merge_spans(features(spark, sf_dir), KEYS, "s", "e", size=BINS * DAYS)
 
 
 @query(f"WITH {BLOCK}{_MERGED.format(keys='l_orderkey', s='p', e='q', gap=0, source='block')} SELECT l_orderkey, s AS p, e AS q FROM merged")
@@ -208,7 +218,7 @@ SELECT chrom, strand, CAST(a AS BIGINT) AS s, CAST(b AS BIGINT) AS e FROM cut WH
 def q_subtract(spark, sf_dir):
     parts = features(spark, sf_dir).select(*KEYS, "s", "e")
     wholes = parts.select(*KEYS).distinct().select(*KEYS, F.lit(1).cast("long").alias("s"), F.lit(2600).cast("long").alias("e"))
-    return intervals.subtract(wholes, parts, KEYS, "s", "e")
+    return intervals.subtract(wholes, parts, KEYS, "s", "e", size=BINS * DAYS)
 
 
 @query(f"""WITH {BLOCK} SELECT l_orderkey, p, q, CAST(greatest(p, 500) AS BIGINT) AS low, CAST(least(q, 520) AS BIGINT) AS high FROM block WHERE greatest(p, 500) <= least(q, 520)""")
@@ -458,22 +468,31 @@ def q_first_seen(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, 'G' || user_id AS gene_id, event_type AS gene_type, replace(lower(event_type || '-RNA x'), '-', '_') = replace(event_type || '_rna x', '-', '_') AS lowered, event_type = 'click' AS tagged FROM events"""
+    """SELECT event_id, 'G' || user_id AS gene_id, event_type AS gene_type, replace(replace(lower(event_type || '-RNA x'), '-', '_'), ' ', '_') AS lowered, event_type = 'click' AS tagged FROM events"""
 )
 def q_attributes(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     attrs = F.concat(F.lit('gene_id "old"; gene_id "G'), F.col("user_id").cast("string"), F.lit('"; tag "a"; tag "'), F.col("event_type"), F.lit('"; gene_type "'), F.col("event_type"), F.lit('"; level 2;'))
     made = events.select("event_id", "event_type", attrs.alias("a"))
     as_map = text.gtf_attributes(F.col("a"))
-    lowered = text.normalised_type(F.concat("event_type", F.lit("-RNA x"))) == F.concat("event_type", F.lit("_rna_x"))
+    lowered = text.normalised_type(F.concat("event_type", F.lit("-RNA x")))
     return made.select("event_id", F.get(F.array(as_map["gene_id"]), F.lit(0)).alias("gene_id"), text.gtf_attribute(F.col("a"), "gene_type").alias("gene_type"), lowered.alias("lowered"), text.has_tag(F.col("a"), "click").alias("tagged"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCK}, {_SAMPLES}, few AS (SELECT sample, concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS read_name, p AS xmin, q AS xmax, row_number() OVER (PARTITION BY sample ORDER BY (l_orderkey * 7919 + l_partkey * 31) % 10007, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS k FROM block),
+reads AS (SELECT sample, read_name, xmin, xmax, row_number() OVER (PARTITION BY sample ORDER BY xmin, xmax, read_name) AS i FROM few WHERE k <= 100),
+pack AS (SELECT sample, read_name, xmin, xmax, i, 1 AS lane, [xmax] AS ends FROM reads WHERE i = 1 UNION ALL
+  SELECT sample, read_name, xmin, xmax, i, lane, CASE WHEN lane > len(ends) THEN list_append(ends, xmax) ELSE list_concat(list_concat(ends[1:lane - 1], [xmax]), ends[lane + 1:]) END
+  FROM (SELECT r.*, ends, CAST(coalesce(nullif(list_position(list_transform(ends, lambda e: e < r.xmin), TRUE), 0), len(ends) + 1) AS INTEGER) AS lane FROM pack JOIN reads r ON r.sample = pack.sample AND r.i = pack.i + 1)),
+tall AS (SELECT sample, CAST(max(lane) AS BIGINT) AS lanes FROM pack GROUP BY 1), stacked AS (SELECT sample, lanes, CAST(coalesce(sum(lanes + 2) OVER (ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y_offset FROM tall)
+SELECT pack.sample, read_name, xmin, xmax, lane AS pack_lane, lanes, y_offset FROM pack JOIN stacked USING (sample)"""
+)
 def q_lane_packing(spark, sf_dir):
     """A repeatable sample of a hundred blocks of each sample, as a browser draws them."""
     rows = blocks(spark, sf_dir)
-    few = layout.capped_sample(rows.withColumn("read_name", F.concat_ws(":", *LINE)), ["sample"], F.lit(100), [layout.seeded(1, *LINE)])
+    order = [(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31) % 10007, *map(F.col, LINE)]
+    few = layout.capped_sample(rows.withColumn("read_name", F.concat_ws(":", *LINE)), ["sample"], F.lit(100), order)
     packed = layout.pack_lanes(few.select("sample", "read_name", F.col("p").alias("xmin"), F.col("q").alias("xmax")), ["sample"])
     tall = packed.groupBy("sample").agg(F.max("pack_lane").cast("long").alias("lanes"))
     return packed.join(layout.stack_lanes(tall, ["sample"], "lanes"), "sample")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.config import EngineConfig
@@ -18,17 +18,23 @@ KEYS = ["chrom", "strand"]
 
 
 def reads(alignments: DataFrame, mapq_above: int) -> DataFrame:
-    """Mapped primary reads above a mapping quality; their end is one past the last base that M and D cover, and counts as if it were the last."""
+    """Mapped primary reads above a mapping quality; their end is one past the last base that M and D cover, and counts as if it were the last.
+
+    A read is named by hashes of what its record says, and equal records by their number, so that a rerun of a task gives the same names.
+    """
     a = alignments.where(~fragments.flag(fragments.NOT_PRIMARY) & ~fragments.flag(fragments.UNMAPPED) & (F.col("mapq") > mapq_above) & F.col("cigar").isNotNull())
     strand = F.when(fragments.flag(fragments.REVERSE), "-").otherwise("+")
-    return a.select("sample", F.monotonically_increasing_id().alias("read"), F.col("rname").alias("chrom"), strand.alias("strand"), F.col("pos").alias("rs"), cigar.span_md(F.col("pos"), F.col("cigar")).alias("re"), "cigar")
+    said = ("sample", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "nh")
+    equal = Window.partitionBy(*said).orderBy(F.lit(1))
+    name = F.struct(F.xxhash64(*said).alias("a"), F.xxhash64(F.lit(1), *said).alias("b"), F.row_number().over(equal).alias("copy"))
+    return a.withColumn("read", name).select("sample", "read", F.col("rname").alias("chrom"), strand.alias("strand"), F.col("pos").alias("rs"), cigar.span_md(F.col("pos"), F.col("cigar")).alias("re"), "cigar")
 
 
 def top_branchpoints(introns: DataFrame, branchpoints: DataFrame) -> DataFrame:
     """(top, chrom, strand, position) for each intron with a branchpoint: the one with the highest score, the first in the file of equals."""
     points = branchpoints.select(*KEYS, "position", "score", "ordinal")
     hits = intervals.point_join(points, introns.select(*KEYS, "intron_id", "start", "end"), KEYS, "position", "start", "end")
-    return hits.groupBy("intron_id", *KEYS).agg(F.max_by("position", F.struct(F.col("score"), -F.col("ordinal"))).alias("position")).withColumnRenamed("intron_id", "top")
+    return hits.groupBy("intron_id", *KEYS).agg(F.min_by("position", F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))), F.col("ordinal"))).alias("position")).withColumnRenamed("intron_id", "top")
 
 
 def single_introns(introns: DataFrame, top: DataFrame) -> DataFrame:
@@ -40,9 +46,7 @@ def single_introns(introns: DataFrame, top: DataFrame) -> DataFrame:
 class LongReads:
     def __init__(self, alignments: DataFrame, introns: DataFrame, branchpoints: DataFrame, config: EngineConfig = EngineConfig()):
         self.config, self.introns, self.branchpoints = config, introns, branchpoints
-        # Ids are given once: the table is kept, as later branches join on them.
         self.reads = reads(alignments, config.mapq_above).persist()
-        self.reads.count()
         self.top = top_branchpoints(introns, branchpoints)
         self.single = single_introns(introns, self.top)
         self.hits = intervals.point_join(branchpoints.select(*KEYS, "position", "ordinal"), self.reads.select("sample", "read", *KEYS, "rs", "re"), KEYS, "position", "rs", "re", config.bin_size)
@@ -144,8 +148,6 @@ def _run_weights(rows: DataFrame) -> DataFrame:
 
     Sorted with its repeats, a position with one event belongs to the run of its neighbours. One with k > 1 events is cut at each repeat: its first event belongs to the run before it, its last to the run after it, and the k - 2 between are runs of their own. So runs are those of positions, cut at each position with repeats, which stands in both.
     """
-    from pyspark.sql import Window
-
     keys = ["sample", "read", "ordinal"]
     order = Window.partitionBy(*keys).orderBy("strand_corrected_position", "half")
     many = F.col("events") > 1

@@ -15,6 +15,10 @@ SMALL = ("snoRNA", "scaRNA", "miRNA", "tRNA", "ribozyme", "vaultRNA", "misc_RNA"
 ANNOTATION_CATEGORIES = (*SMALL, "lncRNA", "protein_coding_intron", "protein_coding_exon", "pseudogene")
 
 
+#: Rows of a reference of introns as they are written.
+GENOMIC = ("chrom", "intron_start", "intron_end", "transcript_id")
+
+
 def selected_introns(gtf: DataFrame) -> DataFrame:
     """Introns between the sorted exons of protein-coding MANE Select transcripts; numbered by genomic order on both strands."""
     rows = gtf.where(F.col("feature").isin("transcript", "exon") & F.col("attributes").contains('gene_type "protein_coding"') & text.has_tag(F.col("attributes"), "MANE_Select"))
@@ -39,7 +43,7 @@ def assignment_counts(branchpoints: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def branchpoint_reference(introns: DataFrame, branchpoints: DataFrame) -> DataFrame:
-    """One row for each intron with a branchpoint: its best candidate by score, then nearness to the three-prime end, then the position furthest along, then intron type."""
+    """One row for each intron with a branchpoint: its best candidate by score, then nearness to the three-prime end, then the position furthest along, then intron type. Rows are in genomic order."""
     hits = assign_branchpoints(introns, branchpoints)
     ss = orient.three_prime(F.col("start"), F.col("end"), F.col("strand"))
     distance = F.when(F.col("strand") == "+", ss - F.col("position")).otherwise(F.col("position") - ss)
@@ -50,7 +54,7 @@ def branchpoint_reference(introns: DataFrame, branchpoints: DataFrame) -> DataFr
     tied = hits.withColumn("rank", rank).join(best, "intron_id").where(F.col("rank") == F.col("top")).groupBy("intron_id").agg(F.min("intron_type").alias("branchpoint_type"), F.max("candidates").cast("int").alias("branchpoint_candidates"), F.max("position").alias("branchpoint_position"), F.max("score").alias("branchpoint_score"))
     out = introns.join(tied, "intron_id").withColumn("three_prime_ss", ss)
     out = out.withColumnsRenamed({"start": "intron_start", "end": "intron_end"})
-    return out.withColumns({"intron_length": F.col("intron_end") - F.col("intron_start") + 1, "branchpoint_to_3ss_nt": orient.offset(F.col("three_prime_ss"), F.col("branchpoint_position"), F.col("strand"))}).select(*schemas.BRANCHPOINT_REFERENCE.names)
+    return out.withColumns({"intron_length": F.col("intron_end") - F.col("intron_start") + 1, "branchpoint_to_3ss_nt": orient.offset(F.col("three_prime_ss"), F.col("branchpoint_position"), F.col("strand"))}).select(*schemas.BRANCHPOINT_REFERENCE.names).orderBy(*GENOMIC)
 
 
 def genes(gtf: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Spark's readers take files, folders, globs and gzip alike, and lines may end in
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,25 @@ def checked_samples(df: DataFrame) -> DataFrame:
     return both.join(F.broadcast(single), "sample")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds ordinal, the place of a row: files by their name, whatever their sizes, and then their lines. For tables of text, whose rows have no place of their own.
+
+    A file's rows are in its splits, in the order of their bytes; numbers are given by split, so they rise but have gaps.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return df.select("*", place.alias("ordinal"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that are read again: in spark.checkpoint.dir, which driver and executors share, or, with a local master, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spanforge-files-")
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of exactly nine tab-separated fields; comments and all others are skipped."""
     fields = F.split(F.col("value"), "\t")
@@ -54,13 +75,13 @@ def read_branchpoints(spark: SparkSession, path: str) -> DataFrame:
     if not named:
         raise ValueError("a branchpoint table needs a chr or seqnames column")
     intron_type = F.coalesce("intron_type", F.lit("")) if "intron_type" in has else F.lit("")
-    return raw.select(F.coalesce(*named).alias("chrom"), F.col("start").cast("long").alias("position"), "strand", F.col("score").cast("double").alias("score"), intron_type.alias("intron_type"), F.monotonically_increasing_id().alias("ordinal"))
+    return in_file_order(raw).select(F.coalesce(*named).alias("chrom"), F.col("start").cast("long").alias("position"), "strand", F.col("score").cast("double").alias("score"), intron_type.alias("intron_type"), "ordinal")
 
 
 def read_selected_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(gene_id, transcript_id): the first transcript of each gene in file order."""
-    raw = read_tsv(spark, path).select("gene_id", "transcript_id").withColumn("__at", F.monotonically_increasing_id())
-    return raw.groupBy("gene_id").agg(F.min_by("transcript_id", "__at").alias("transcript_id"))
+    raw = in_file_order(read_tsv(spark, path))
+    return raw.groupBy("gene_id").agg(F.min_by("transcript_id", "ordinal").alias("transcript_id"))
 
 
 def read_sam(spark: SparkSession, path: str | list[str], sample: str | None = None) -> DataFrame:
@@ -93,6 +114,20 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, gz
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
+def write_tsv_file(df: DataFrame, path: str, columns: Sequence[str] | None = None, gzip: bool = False, na: bool = False) -> None:
+    """As write_tsv(), but the part is moved to be a file of the given name."""
+    folder = f"{path}.parts"
+    write_tsv(df, folder, columns, gzip, na)
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(folder)
+    system = source.getFileSystem(conf)
+    part = system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))[0].getPath()
+    if not system.rename(part, jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"{path} can't be written")
+    system.delete(source, True)
+
+
 def write_reference(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
     """The tables of a reference as Parquet, each in a folder of its name."""
     for name, df in tables.items():

@@ -2,7 +2,7 @@ import pytest
 
 from paths import SF, SF_ORACLE
 from oracle import assert_same
-from spanforge.plans import catalog
+from spanforge.plans import analyses as catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -11,7 +11,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_lanes_never_hold_overlapping_reads(spark):
-    rows = catalog.q_lane_packing(spark, SF).collect()
+    rows = catalog.QUERIES["q_lane_packing"](spark, SF).collect()
     lanes = {}
     for r in sorted(rows, key=lambda r: r["xmin"]):
         key = (r["sample"], r["pack_lane"])

@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,54 @@ def test_subtraction_of_bases(spark, whole, parts):
     assert bases(out) == bases([(a, b)]) - bases(parts) and sum(y - x + 1 for x, y in out) == len(bases(out))
 
 
+def test_merging_by_bins_is_merging(spark):
+    rng = random.Random(2)
+    groups = [[(1, 1), (1, 1)], [(5, 50)]] + [[(a := rng.randrange(1, 60), a + rng.randrange(13)) for _ in range(rng.randrange(1, 12))] for _ in range(40)]
+    rows = frame(spark, [(k or None, a, b) for k, of in enumerate(groups) for a, b in of], "k int, start long, end long")
+    wholes = frame(spark, [(k or None, 3, 50) for k in range(len(groups))], "k int, start long, end long").where("k IS NOT NULL")
+    key = lambda df: sorted((r["k"] or -1, r["start"], r["end"]) for r in df.collect())
+    for size, gap in ((1, 0), (7, 1)):
+        assert key(intervals.merge_spans(rows, ["k"], gap=gap, size=size)) == key(intervals.merge_spans(rows, ["k"], gap=gap))
+        assert key(intervals.subtract(wholes, rows, ["k"], size=size)) == key(intervals.subtract(wholes, rows, ["k"]))
+
+
+def test_very_wide_intervals_cost_few_rows(spark):
+    points = frame(spark, [("k", 5), ("k", 10**9), ("k", 2 * 10**12)], "k string, p long")
+    wide = frame(spark, [("k", 1, 10, 1), ("k", 3, 10**9, 2), ("k", 2, 10**12, 3), ("k", 9, 4, 4)], "k string, s long, e long, i long")
+    found = intervals.point_join(points, wide, ["k"], "p", "s", "e", 1000)
+    assert values(found, "p", "i") == [(5, 1), (5, 2), (5, 3), (10**9, 2), (10**9, 3)]
+    blocks = frame(spark, [("k", 1, 3), ("k", 10**9, 10**9 + 5)], "k string, a long, b long")
+    assert values(intervals.overlap_join(blocks, wide, ["k"], ("a", "b"), ("s", "e"), 1000), "a", "i") == [(1, 1), (1, 2), (1, 3), (10**9, 2), (10**9, 3)]
+    assert values(intervals.containment_join(blocks, wide, ["k"], ("a", "b"), ("s", "e"), 1000, stretch=6), "a", "i") == [(1, 1), (1, 2), (1, 3), (10**9, 3)]
+
+
+def test_long_cigars_cost_in_proportion(spark):
+    n = 16_000
+    text_ = "".join(f"{1 + i % 3}{'MDMIN'[i % 5]}" for i in range(n))
+    plain, at, shifted, spot = [], 7, [], 7
+    for i in range(n):
+        k, op = 1 + i % 3, "MDMIN"[i % 5]
+        if op == "M":
+            plain.append((at, at + k - 1))
+        if op == "D":
+            shifted += range(spot + 1, spot + k + 1)
+        at += k if op in "MDN" else 0
+        spot += k if op in "MD" else 0
+    rows = frame(spark, [(7, text_), (7, "3M")], "pos long, cigar string").repartition(1)
+    began = time.time()
+    out = rows.select(cigar.blocks(F.col("pos"), F.col("cigar")).alias("b"), cigar.deletions_shifted(F.col("pos"), F.col("cigar")).alias("d")).collect()
+    assert time.time() - began < 20
+    (long,) = [r for r in out if len(r["b"]) > 1]
+    assert [tuple(x) for x in long["b"]] == plain and long["d"] == shifted
+
+
+def test_ranked_rows_are_numbered_in_order(spark):
+    rows = frame(spark, [(i * 7919 % 1000, i) for i in range(1000)], "x long, i long").repartition(5)
+    out = {r["x"]: r["row_rank"] for r in layout.ranked(rows, [F.desc("x")]).collect()}
+    assert out == {x: 1000 - x for x in range(1000)}
+    assert layout.ranked(rows.limit(0), ["x"]).count() == 0
+
+
 def test_subtraction_without_parts(spark):
     out = intervals.subtract(spans(spark, [(5, 9)]), spans(spark, [], "x"), ["k"])
     assert values(out, "start", "end") == [(5, 9)]

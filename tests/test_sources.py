@@ -1,4 +1,6 @@
 import gzip
+import struct
+import zlib
 from pathlib import Path
 
 import genome
@@ -65,6 +67,70 @@ def test_broken_bam(spark, folder):
         spark.read.format("bam").load(str(folder / "no.bam")).count()
 
 
+def bgzf(parts):
+    """Packed blocks of the parts, and the virtual offset of each part's beginning."""
+    out, offsets = b"", []
+    for data in [*parts, b""]:
+        offsets.append(len(out) << 16)
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(data) + packer.flush()
+        out += struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+    return out, offsets
+
+
+def indexed(folder, n=300):
+    """A sorted BAM file of one chromosome with an index, five records a block, and its SAM lines."""
+    lines = [genome.sam_line(f"q{i}", 0, "chr1", 1 + 400 * i, 60, "50M300N50M" if i % 7 == 0 else "30M", "=", 1, 0, 1) for i in range(n)]
+    head = ["@SQ\tSN:chr1\tLN:5000"]
+    plain = gzip.decompress(genome.bam_bytes([*head, *lines]))
+    at, records = len(gzip.decompress(genome.bam_bytes(head))), []
+    start = at
+    while at < len(plain):
+        size = struct.unpack_from("<i", plain, at)[0] + 4
+        records.append(plain[at : at + size])
+        at += size
+    blocks = [b"".join(records[i : i + 5]) for i in range(0, n, 5)]
+    data, offsets = bgzf([plain[:start], *blocks])
+    (folder / "big.bam").write_bytes(data)
+    (folder / "plain").mkdir()
+    (folder / "plain/big.bam").write_bytes(data)
+    places = [offsets[1 + i // 5] | sum(map(len, records[i - i % 5 : i])) for i in range(n)] + [offsets[-1]]
+    bins, linear = {}, {}
+    for i in range(n):
+        a = 400 * i
+        b = a + (400 if i % 7 == 0 else 30)
+        level = next(s for s in (14, 17, 20, 23, 26, 29) if a >> s == (b - 1) >> s)
+        number = ((1 << 29 - level) - 1) // 7 + (a >> level)
+        bins.setdefault(number, []).append((places[i], places[i + 1]))
+        for w in range(a >> 14, ((b - 1) >> 14) + 1):
+            linear.setdefault(w, places[i])
+    index = b"BAI\x01" + struct.pack("<ii", 1, len(bins))
+    for number, chunks in bins.items():
+        index += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+    index += struct.pack("<i", len(linear)) + b"".join(struct.pack("<Q", linear[w]) for w in sorted(linear))
+    (folder / "big.bam.bai").write_bytes(index)
+    return lines
+
+
+def test_indexed_bam_is_split_and_read_by_region(spark, tmp_path):
+    binary.register(spark)
+    lines = indexed(tmp_path)
+    (tmp_path / "big.sam").write_text("\n".join(lines) + "\n")
+    key = lambda r: tuple(str(x) for x in r)
+    sam = sorted(map(key, tables.read_sam(spark, str(tmp_path / "big.sam")).collect()))
+    split = spark.read.format("bam").option("splitBytes", 600).load(str(tmp_path / "big.bam"))
+    whole = spark.read.format("bam").load(str(tmp_path / "plain/big.bam"))
+    assert split.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+    assert sorted(map(key, split.collect())) == sam == sorted(map(key, whole.collect()))
+    for region, first, last in (("chr1:40,001-60,500", 100, 151), ("chr1:2900-3100", 7, 7), ("chr1", 0, 299), ("chr2:1-9", 1, 0), ("chr1:1-1", 0, 0)):
+        for path in ("big.bam", "plain/big.bam"):
+            rows = spark.read.format("bam").option("region", region).load(str(tmp_path / path))
+            assert sorted(int(r["qname"][1:]) for r in rows.collect()) == list(range(first, last + 1)), (region, path)
+    reader = binary.BamReader({"path": str(tmp_path / "big.bam"), "region": "chr1:40001-60500"})
+    assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 52
+    assert min(p.start for p in reader.partitions()) > 0
+
+
 def test_fastq_and_fasta(spark, folder):
     binary.register(spark)
     for name in ("r.fastq", "r.fastq.gz"):
@@ -112,6 +178,14 @@ def test_references_of_another_version(spark, folder):
         tables.read_reference(spark, str(folder / "ref"), "categories", schemas.SMALL_NCRNA)
 
 
+def test_file_order_is_by_name_whatever_the_sizes(spark, tmp_path):
+    line = lambda i, n: f"G{i}\tT{n}\t{'x' * 50}\n"
+    (tmp_path / "a.tsv").write_text("gene_id\ttranscript_id\tn\n" + line(1, "a"))
+    (tmp_path / "b.tsv").write_text("gene_id\ttranscript_id\tn\n" + "".join(line(i, "b") for i in range(5000)))
+    found = {r["gene_id"]: r["transcript_id"] for r in tables.read_selected_transcripts(spark, str(tmp_path)).collect()}
+    assert found["G1"] == "Ta" and found["G2"] == "Tb"
+
+
 def test_first_transcript_in_file_order(spark, folder):
     (folder / "t.tsv").write_text("gene_id\ttranscript_id\tn\nG\tT2\t1\nG\tT1\t9\nH\tT3\t1\n")
     assert {tuple(r) for r in tables.read_selected_transcripts(spark, str(folder / "t.tsv")).select("gene_id", "transcript_id").collect()} == {("G", "T2"), ("H", "T3")}
