@@ -577,7 +577,7 @@ def q_ref_introns(spark, sf_dir):
 
 
 @query(
-    f"""{_G}, hit AS (SELECT i.*, p.position, p.score, p.intron_type, {along('position', "CASE WHEN i.strand = '+' THEN end_ ELSE start END").replace('strand =', 'i.strand =')} AS o, count(*) OVER (PARTITION BY intron_id) AS candidates FROM chosen_intron i JOIN point p ON p.chrom = i.chrom AND p.strand = i.strand AND position BETWEEN start AND end_),
+    f"""{_G}, hit AS (SELECT i.*, p.position, p.score, p.intron_type, {along('position', "CASE WHEN strand = '+' THEN end_ ELSE start END").replace('strand =', 'i.strand =')} AS o, count(*) OVER (PARTITION BY intron_id) AS candidates FROM chosen_intron i JOIN point p ON p.chrom = i.chrom AND p.strand = i.strand AND position BETWEEN start AND end_),
 best AS (SELECT *, row_number() OVER (PARTITION BY intron_id ORDER BY score DESC, -o, CASE WHEN strand = '+' THEN -position ELSE position END, intron_type) AS best_place FROM hit)
 SELECT CASE WHEN c % 5 = 0 AND n = 2 THEN transcript_id || ':intron_3' WHEN c % 5 = 0 THEN transcript_id || ':intron_2' ELSE intron_id END AS intron_id, transcript_id, CAST(CASE WHEN c % 5 = 0 THEN n + 1 ELSE n END AS INTEGER) AS intron_number, gene_id, gene_name, chrom, strand, intron_start, intron_end, intron_length, three_prime_ss, branchpoint_position, branchpoint_score, branchpoint_to_3ss_nt, branchpoint_type, branchpoint_candidates,
   row_number() OVER (ORDER BY chrom, intron_start, intron_end, transcript_id) AS row_rank
