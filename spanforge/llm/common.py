@@ -5,6 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -62,10 +64,33 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
 def stored(df: DataFrame, most: int | None = None) -> DataFrame:
     """As cut(), but as Parquet: smaller, and later reads skip columns. For larger tables."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/spanforge-{uuid.uuid4().hex}"
+    for written in _scopes:
+        written.append(path)
     (df.coalesce(most) if most else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that stored() writes inside are deleted at the end, but for those that are taken out of the list. For results that have been written elsewhere by then."""
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield written
+    finally:
+        _scopes.remove(written)
+        for path in written:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Shared:
     """A broadcast value that may hold objects of this package, which executors need not have installed."""
 

@@ -231,7 +231,7 @@ _FOUND = "hits array<array<int>>, items array<string>"
 def contamination(docs: DataFrame, items: DataFrame, config: Config = Config(), id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, hits, items) of every document: hits are the words covered by item windows, as disjoint [start, stop) in order, and items the ids of items with a window there, sorted as strings.
 
-    Null texts have no words; items with a null id or text, or without words, have no windows. Repeated ids are rows of their own. Other columns aren't read.
+    Null texts have no words; items with a null id or text, or without words, have no windows. Repeated ids are rows of their own. Of shingles equally rare the earlier is probed for, which changes no result. Texts of any length are read whole. An empty table has no row; without an item nothing is hit. Other columns aren't read.
     """
     common.prepare(docs.sparkSession)
     now = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("t"))
@@ -278,7 +278,7 @@ def contamination(docs: DataFrame, items: DataFrame, config: Config = Config(),
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, config: Config = Config(), text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents without any item window, with all their columns."""
+    """The documents without any item window, with all their columns, whatever their ids; rows of one id are judged each by its own text, and repeated rows alike. Null and empty texts stay. Texts of any length are read whole. Without an item all documents stay; an empty table stays empty."""
     common.prepare(docs.sparkSession)
     at = docs.columns.index(text_column)
 

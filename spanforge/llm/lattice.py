@@ -31,9 +31,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 class Config:
     vocabulary: str = VOCABULARY  # a sentencepiece model; only the driver reads it
     common_words: int = 150_000  # broadcast, at most
-    counted_at_once: int = 400_000  # different words a task holds before it passes their counts on
+    counted_at_once: int = 400_000  # different words a task holds before it passes their counts on,
+    counted_bytes: int = 64 << 20  # or so many bytes of text, whichever comes first: words may be long
     passes: int = 1  # of expectation-maximisation
-    longest: int = 16  # characters of a piece that is used
 
 
 def words(text: str) -> list[bytes]:
@@ -151,7 +151,7 @@ def load(config: Config = Config()) -> Lattice:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i)
-            if len(piece) <= config.longest and START not in piece[1:] and piece == piece.encode().translate(LOWER).decode() and len(piece.encode().split()) == 1:
+            if START not in piece[1:] and piece == piece.encode().translate(LOWER).decode() and len(piece.encode().split()) == 1:
                 scored.append((-model.get_score(i), piece))
     return from_pieces([p for _, p in sorted(scored)])
 
@@ -181,6 +181,7 @@ def count_words(docs: DataFrame, train, config: Config, id_column: str, text_col
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_train, others = Counter(), Counter()
+        held = 0
 
         def emit() -> pa.RecordBatch:
             both = list(of_train.keys() | others.keys())
@@ -192,8 +193,10 @@ def count_words(docs: DataFrame, train, config: Config, id_column: str, text_col
         for batch in batches:
             for text, learn in zip(common.texts(batch.column(0)), batch.column(1).to_pylist()):
                 (of_train if learn else others).update(words(text))
-            if len(of_train) + len(others) > config.counted_at_once:
-                yield emit()
+                held += len(text)
+                if held > config.counted_bytes or len(of_train) + len(others) > config.counted_at_once:
+                    yield emit()
+                    held = 0
         yield emit()
 
     parts = docs.select(F.col(text_column).alias("t"), train.alias("learn")).mapInArrow(apply, "word string, c long, n long")

@@ -7,7 +7,7 @@ The DOM trees of a site's pages are laid over each other. An element node is a p
 
 A node's importance is 1 - gamma of its presentation and gamma of its content. Nodes below a threshold are noise; their text is removed from every page of the site, and with it each branch that has nothing else.
 
-Every node is judged twice: by its own site, where that has enough pages, and by the tree of all sites laid over each other, which knows menus and notices of sites that are too small to repeat theirs. A site whose tree finds nothing important that the tree of all sites finds important too (all its pages are copies of few) tells nothing by itself. Nodes on fewer than `least_pages` pages aren't judged, and stay. What only the meaning of words could tell, such as comments that never recur, stays too.
+Every node is judged twice: by its own site, where that has enough pages, and by the tree of all sites laid over each other, which knows menus and notices of sites that are too small to repeat theirs. A site whose tree finds nothing important that the tree of all sites finds important too (all its pages are copies of few) tells nothing by itself. Where an element's path with classes is on too few pages to be judged, as when classes differ from page to page, its path of tags alone is. Nodes on fewer than `least_pages` pages aren't judged, and stay. What only the meaning of words could tell, such as comments that never recur, stays too.
 
 Only markup decides besides: heads, scripts, styles, templates and the labels of controls are no text. No tag, class, role or id stands for content or noise; classes only part nodes.
 
@@ -71,6 +71,15 @@ def key(text: str, above: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), above)
 
 
+def _named(x: int) -> int:
+    """Names of nodes with classes are odd, those without are even."""
+    return x | 1
+
+
+def _plain(x: int) -> int:
+    return x & ~1
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -88,7 +97,7 @@ class Page:
         self.blocks: list[Block] = []
         self.styles: set[tuple[int, int]] = set()  # (node, style)
         # open block elements: tag, node with classes, node without, style of each so far, last child of each
-        self.open: list[list] = [["", 0, 0, 0, 0, "", ""]]
+        self.open: list[list] = [["", 1, 0, 0, 0, "", ""]]
         self.places: dict[str, list[int]] = {}  # of open tags in the list above
         self.silent = 0  # open elements without text
         self.buffer: list[str] = []
@@ -151,7 +160,7 @@ class Page:
             above[4], above[6] = key(tag, above[4]), tag
         self.places.setdefault(tag, []).append(len(self.open))
         self.silent += tag in NO_TEXT
-        self.open.append([tag, key(label, above[1]), key(tag, above[2] ^ 1), 0, 0, "", ""])
+        self.open.append([tag, _named(key(label, above[1])), _plain(key(tag, above[2])), 0, 0, "", ""])
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE and (at := self._nearest(tag)):
@@ -236,20 +245,26 @@ def nodes(pages: DataFrame, config: Config = Config(), url_column: str = "url",
     return tree(each).unionByName(tree(everywhere))
 
 
-def noise(found: DataFrame, config: Config = Config()) -> DataFrame:
-    """(host, node) of the nodes that are removed; host null: on every site."""
-    judged = common.stored(found.where(F.col("pages") >= config.least_pages))
-    of_all, own = judged.where("host IS NULL"), judged.where("host IS NOT NULL")
-    good = of_all.where(F.col("importance") >= config.common_threshold).select("node")
+def judged(found: DataFrame, config: Config = Config()) -> DataFrame:
+    """(host, node, removed) of the nodes that are removed, host null: on every site; and of those with classes that stay, as these aren't judged by their tags."""
+    enough = common.stored(found.where(F.col("pages") >= config.least_pages))
+    of_all, own = enough.where("host IS NULL"), enough.where("host IS NOT NULL")
+    good = of_all.where(F.col("importance") >= config.common_threshold)
     # sites that find something important which is so everywhere
-    telling = own.where(F.col("importance") >= config.site_threshold).join(good, "node", "left_semi").select("host").distinct()
+    telling = own.where(F.col("importance") >= config.site_threshold).join(good.select("node"), "node", "left_semi").select("host").distinct()
     low = own.where(F.col("importance") < config.site_threshold).join(telling, "host", "left_semi")
-    return of_all.where(F.col("importance") < config.common_threshold).select("host", "node").unionByName(low.select("host", "node"))
+    gone = of_all.where(F.col("importance") < config.common_threshold).unionByName(low).select("host", "node", F.lit(True).alias("removed"))
+    return gone.unionByName(good.where(F.col("node").bitwiseAND(F.lit(1)) == 1).select("host", "node", F.lit(False).alias("removed")))
+
+
+def text_of(page: Page, verdict) -> str:
+    """Blocks that stay. verdict tells of a node whether it is removed, or None where it isn't judged."""
 
+    def gone(nodes: tuple[int, int]) -> bool:
+        found = verdict(nodes[0])
+        return bool(verdict(nodes[1])) if found is None else found
 
-def text_of(page: Page, removed) -> str:
-    """Blocks whose node isn't removed, as either of its two names."""
-    return "\n\n".join(b.text for b in page.blocks if not (removed(b.nodes[0]) or removed(b.nodes[1])))
+    return "\n\n".join(b.text for b in page.blocks if not gone(b.nodes))
 
 
 def extract(pages: DataFrame, config: Config = Config(), id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -260,35 +275,36 @@ def extract(pages: DataFrame, config: Config = Config(), id_column: str = "page_
     spark = pages.sparkSession
     common.prepare(spark)
     slim = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("h"))
-    low = common.stored(noise(nodes(pages, config, url_column, html_column), config))
+    known = common.stored(judged(nodes(pages, config, url_column, html_column), config))
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    if low.count() <= config.broadcast_nodes:
-        sent = common.Shared(spark, {(r["host"], r["node"]) for r in low.collect()})
+    if known.count() <= config.broadcast_nodes:
+        sent = common.Shared(spark, {(r["host"], r["node"]): r["removed"] for r in known.collect()})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value
+            get = sent.value.get
             for batch in batches:
                 urls, texts = batch.column(1).to_pylist(), []
                 for url, markup in zip(urls, common.texts(batch.column(2))):
                     host = _signed(key(site(url)))
-                    texts.append(text_of(Page(markup), lambda node: (None, _signed(node)) in known or (host, _signed(node)) in known))  # noqa: B023
+                    texts.append(text_of(Page(markup), lambda node: get((host, _signed(node))) or get((None, _signed(node)))))  # noqa: B023
                 yield common.like(schema, [batch.column(0).to_pylist(), urls, texts])
 
         source = slim
     else:
-        source = _with_noise(slim, low)
+        source = _with_verdicts(slim, known)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [text_of(Page(markup), lambda node, gone=frozenset(gone or ()): _signed(node) in gone) for markup, gone in zip(common.texts(batch.column(2)), batch.column(3).to_pylist())]
+                verdicts = [{v["node"]: v["removed"] for v in found or ()} for found in batch.column(3).to_pylist()]
+                texts = [text_of(Page(markup), lambda node, of=of: of.get(_signed(node))) for markup, of in zip(common.texts(batch.column(2)), verdicts)]
                 yield common.like(schema, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts])
 
     out = source.mapInArrow(apply, "id long, url string, text string")
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text")
 
 
-def _with_noise(slim: DataFrame, low: DataFrame) -> DataFrame:
-    """slim with the removed ones of each page's nodes. Pages are known by hashes of their url and html, so that equal ones are asked for once; a page's nodes are joined with the removed ones, and nothing of a site is gathered but what one page has."""
+def _with_verdicts(slim: DataFrame, known: DataFrame) -> DataFrame:
+    """slim with the verdicts on each page's nodes. Pages are known by hashes of their url and html, so that equal ones are asked for once; a page's nodes are joined with the judged ones, and nothing of a site is gathered but what one page has."""
     schema = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("node", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,10 +314,11 @@ def _with_noise(slim: DataFrame, low: DataFrame) -> DataFrame:
 
     page = F.xxhash64("url", "h")
     asked = slim.select(page.alias("page"), "url", "h").mapInArrow(apply, "page long, host long, node long").distinct()
-    of_all = low.where("host IS NULL").select("node")
-    hit = asked.join(of_all, "node", "left_semi").unionByName(asked.join(low.where("host IS NOT NULL"), ["host", "node"], "left_semi").select(asked.columns))
-    gone = hit.groupBy("page").agg(F.collect_set("node").alias("gone"))
-    return slim.withColumn("page", page).join(gone, "page", "left").select("id", "url", "h", "gone")
+    everywhere = asked.join(known.where("host IS NULL").select("node", "removed"), "node").select("page", "node", "removed")
+    own = asked.join(known.where("host IS NOT NULL"), ["host", "node"]).select("page", "node", "removed")
+    each = everywhere.unionByName(own).groupBy("page", "node").agg(F.max("removed").alias("removed"))
+    found = each.groupBy("page").agg(F.collect_list(F.struct("node", "removed")).alias("verdicts"))
+    return slim.withColumn("page", page).join(found, "page", "left").select("id", "url", "h", "verdicts")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Exact top-k search by inner product, with the three-phase uniform threshold method.
 
-A vector's dimensions are cut into m blocks; a block ranks a partition's rows by its share of the score, so each partition holds m local score lists for each query. Queries go through in blocks of bounded size:
+A vector's dimensions are cut into m blocks; a block ranks rows by its share of the score, so each partition holds m local score lists for each query.
 
-1. Each partition takes the first k entries of every local list and scores them fully. The k-th best of all these true scores is a floor: no row below it can be among a query's k best.
-2. The floor over m is the uniform threshold, and is sent to all partitions. A row whose score reaches the floor has a share of at least that threshold in some list, so the entries that reach it are all that are needed.
-3. The remaining rows' missing shares are added, which gives their exact scores, and the best k are kept, first in each partition and then over all, with ties going to the smaller id.
+1. A small part of the rows, picked by a hash of their ids, is scored whole, and each partition gathers the list of its k best for each query. The k-th best of all is a floor: no row below it can be among a query's k best.
+2. The floors, one number for each query, are broadcast as a safe cutoff. A row that reaches the floor has a share of at least floor / m, the uniform threshold, in some list. All lists but the last are looked at, and entries are collected that reach the threshold in one of them, or may in the last by the length of its vectors, and whose sum so far may still reach the floor by that length.
+3. For these entries alone the missing share is worked out, which gives their exact scores, and those that reach the floor go on: at most k of a partition, and of all partitions only as many as the floor lets through.
 
-Nothing is approximate. A partition sends at most k entries for a query, whatever the number of ties.
+The rows are looked at in waves, each sixteen times as large as all before it, with the floors of the waves before it. So every row is scored once, and of each wave about 16 k entries a query are sent, however many partitions there are. Nothing is approximate.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,12 @@ from . import common
 class Config:
     k: int = 20
     blocks: int = 4  # of dimensions
-    queries: int = 4096  # sent to the executors at once
+    queries: int = 16_384  # sent to the executors at once
+    query_tile: int = 1024  # scored at once
     tile: int = 2048  # rows scored at once
+    first: int = 4096  # rows of the first wave, about
+    growth: int = 16  # of a wave over all before it
+    sparse: float = 0.05  # share of entries up to which they are resolved one by one
 
 
 def _cuts(width: int, blocks: int) -> list[slice]:
@@ -99,41 +104,50 @@ def _emit(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return common.like(_SCHEMA, [js, [best[j][0].tolist() for j in js], [best[j][1].astype(np.int64).tolist() for j in js]])
 
 
-def local_lists(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, config: Config) -> Iterator[pa.RecordBatch]:
-    """Phase 1 on a partition: the true scores of the first k entries of each block's list."""
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    k = config.k + 1  # one may be the query itself
-    for ids, x in _Tiles(batches, q.shape[1], config.tile):
-        picked = []
-        for c in _cuts(q.shape[1], config.blocks):
-            share = _product(x[:, c], q[:, c])
-            picked.append(np.argpartition(share, max(len(ids) - k, 0), axis=0)[-k:] if len(ids) > k else np.tile(np.arange(len(ids))[:, None], (1, len(q))))
-        rows = np.concatenate(picked)
-        for j in range(len(qids)):
-            r = np.unique(rows[:, j])
-            r = r[ids[r] != qids[j]]
-            if len(r):
-                _merge(best, j, ids[r], _product(x[r], q[j : j + 1])[:, 0], config.k)
-    yield _emit(best)
+def collected(x: np.ndarray, q: np.ndarray, floors: np.ndarray, cuts: list[slice]) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 2: (which entries of rows x queries may reach the floors, their sums over all blocks but the last)."""
+    threshold = floors / len(cuts)
+    length = np.sqrt((x[:, cuts[-1]] ** 2).sum(1))[:, None] * np.sqrt((q[:, cuts[-1]] ** 2).sum(1))[None, :] * (1 + 1e-12)
+    sums = np.zeros((len(x), len(q)))
+    enough = length >= threshold
+    for c in cuts[:-1]:
+        share = _product(x[:, c], q[:, c])
+        enough |= share >= threshold
+        sums += share
+    return enough & (sums + length >= floors), sums
+
+
+def resolved(x: np.ndarray, q: np.ndarray, entries: np.ndarray, sums: np.ndarray, last: slice, sparse: float) -> np.ndarray:
+    """Phase 3: exact scores of the collected entries, minus infinity elsewhere."""
+    scores = np.full(sums.shape, -np.inf)
+    if entries.mean() > sparse or np.abs(x).max(initial=0) >= 2.0**24 or np.abs(q).max(initial=0) >= 2.0**24:
+        scores[entries] = (sums + _product(x[:, last], q[:, last]))[entries]
+    else:
+        r, j = np.nonzero(entries)
+        scores[r, j] = sums[r, j] + np.einsum("ij,ij->i", x[r, last], q[j, last])
+    return scores
 
 
 def sufficient(batches: Iterator[pa.RecordBatch], qids: np.ndarray, q: np.ndarray, floors: np.ndarray, config: Config) -> Iterator[pa.RecordBatch]:
-    """Phases 2 and 3 on a partition: rows with a share of at least the uniform threshold, and of these the k best exact scores that reach the floor."""
+    """The k best rows of a partition for each query, of those that reach its floor."""
     cuts = _cuts(q.shape[1], config.blocks)
-    threshold = floors / len(cuts)
     best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for ids, x in _Tiles(batches, q.shape[1], config.tile):
-        shares = [_product(x[:, c], q[:, c]) for c in cuts]
-        enough = shares[0] >= threshold
-        for s in shares[1:]:
-            enough |= s >= threshold
-        exact = sum(shares[1:], shares[0])
-        enough &= exact >= floors
-        at_query, at_row = np.nonzero(enough.T)
-        for j, r in zip(*_groups(at_query, at_row)):
-            r = r[ids[r] != qids[j]]
-            if len(r):
-                _merge(best, int(j), ids[r], exact[r, j], config.k)
+        exact = x.size and np.abs(x).max() * np.abs(q).max(initial=0) * x.shape[1] >= 2.0**53
+        for at in range(0, len(qids), config.query_tile):
+            part = slice(at, at + config.query_tile)
+            if exact:  # sums that doubles can't hold go through as whole numbers
+                scores = _product(x, q[part]).astype(np.int64)
+                hit = scores >= floors[part]
+            else:
+                entries, sums = collected(x, q[part], floors[part], cuts)
+                scores = resolved(x, q[part], entries, sums, cuts[-1], config.sparse)
+                hit = entries & (scores >= floors[part])
+            at_query, at_row = np.nonzero(hit.T)
+            for j, r in zip(*_groups(at_query, at_row)):
+                r = r[ids[r] != qids[at + j]]
+                if len(r):
+                    _merge(best, int(at + j), ids[r], scores[r, j], config.k)
     yield _emit(best)
 
 
@@ -151,63 +165,64 @@ def integers(vectors: DataFrame, scale: int, id_column: str, vector_column: str)
 
 
 def top_k(vectors: DataFrame, is_query, config: Config = Config(), scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each query row with all other rows.
+    """(query_id, rank, vec_id, score): the k highest inner products of each query row with all other rows, fewer if there are fewer; ties go to the smaller id.
 
-    is_query is a condition on id_column. Vectors of unequal length are compared as if the shorter ended in zeros. Rows with equal ids are one query each and don't match each other's id. Queries go in blocks of about config.queries; only a block is ever on the driver or sent out.
+    is_query is a condition on id_column. Vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id. Vectors of unequal length are compared as if the shorter ended in zeros. Repeated rows with an equal id are candidates each, one query together, and don't match their own id; an id with different vectors is a query for each. An empty table has no row. Queries go in blocks of about config.queries; only a block is ever on the driver or sent out. Other columns aren't read.
     """
     spark = vectors.sparkSession
     common.prepare(spark)
     rows = integers(vectors, scale, id_column, vector_column)
     asked = integers(vectors.where(is_query), scale, id_column, vector_column).distinct()
-    known = asked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    width = rows.agg(F.max(F.size("v")).alias("w")).first()["w"] or 0
-    n_blocks = max(1, -(-known // config.queries))
-    out = None
+    known = asked.count()
+    width, n = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    schema = "query_id long, rank int, vec_id long, score long"
+    if not known or not width:
+        return spark.createDataFrame([], schema)
+    n_blocks = -(-known // config.queries)
+    path = f"{common.shared_dir(spark).rstrip('/')}/spanforge-{uuid.uuid4().hex}"
     for block in range(n_blocks):
-        here = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id").collect() if known and width else []
+        here = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id", "v").collect()
         qids = np.array([r["id"] for r in here], np.int64)
         q = np.zeros((len(here), width))
         for i, r in enumerate(here):
             q[i, : len(r["v"])] = r["v"]
-        names = _block(rows, qids, q, config)
-        out = names if out is None else out.unionAll(names)
-    return out
+        _block(rows, n, qids, q, config).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def _block(rows: DataFrame, qids: np.ndarray, q: np.ndarray, config: Config) -> DataFrame:
-    spark = rows.sparkSession
-    if not len(qids):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sent = common.Shared(spark, (qids, q))
+def waves(n: int, config: Config) -> list[tuple[float, float]]:
+    """Shares of the rows, from and to, of each wave."""
+    ends, end = [], float(config.first)
+    while end < n:
+        ends.append(end / n)
+        end *= config.growth
+    ends.append(1.0)
+    return list(zip([0.0, *ends[:-1]], ends))
 
-    def first(batches):
-        yield from local_lists(batches, *sent.value, config)
 
-    # The k-th best of what the partitions found, for each query; only these floors, one number a query, come back.
-    lists = rows.mapInArrow(first, _SPARK_SCHEMA)
-    merged = lists.select("j", F.explode("scores").alias("s"))
-    ranked = merged.groupBy("j", "s").agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(_window())
-    floor_rows = ranked.withColumn("above", above).where(F.col("above") >= config.k).groupBy("j").agg(F.max("s").alias("floor")).collect()
+def _block(rows: DataFrame, n: int, qids: np.ndarray, q: np.ndarray, config: Config) -> DataFrame:
+    spark = rows.sparkSession
+    sent = common.Shared(spark, (qids, q))
     floors = np.full(len(qids), -np.inf)
-    for r in floor_rows:
-        floors[r["j"]] = r["floor"]
-    floors_sent = common.Shared(spark, floors)
-
-    def rest(batches):
-        yield from sufficient(batches, *sent.value, floors_sent.value, config)
-
-    found = rows.mapInArrow(rest, _SPARK_SCHEMA).select("j", F.explode(F.arrays_zip("ids", "scores")).alias("e"))
-    order = _best_first()
-    best = found.select("j", F.col("e.ids").alias("vec_id"), F.col("e.scores").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.k)
-    names = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(qids)], "j long, query_id long"))
-    return best.join(names, "j").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("j").orderBy(F.col("s").desc())
+    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    best = None
+    every = waves(n, config)
+    for number, (low, high) in enumerate(every):
+        floors_sent = common.Shared(spark, floors)
+
+        def look(batches, floors_sent=floors_sent):
+            yield from sufficient(batches, *sent.value, floors_sent.value, config)
+
+        here = rows if len(every) == 1 else rows.where((place >= low) & (place < high))
+        found = here.mapInArrow(look, _SPARK_SCHEMA).select("j", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select("j", F.col("e.ids").alias("vec_id"), F.col("e.scores").alias("score"))
+        both = found if best is None else best.unionByName(found)
+        best = both.withColumn("rank", F.row_number().over(_best_first())).where(F.col("rank") <= config.k)
+        if number < len(every) - 1:
+            best = common.stored(best).drop("rank")
+            for r in best.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= config.k).collect():
+                floors[r["j"]] = r["floor"]
+    names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(qids)], "j long, query_id long")
+    return best.join(F.broadcast(names), "j").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _best_first():

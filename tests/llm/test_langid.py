@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import langid
+from spanforge.llm import common, langid
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,6 +29,48 @@ def test_pooled_response_is_that_of_plain_loops():
     assert np.allclose(net.log_probabilities(windows), plain, atol=1e-4)
 
 
+def test_query_against_plain_loops(spark):
+    """All windows of each text, one position at a time."""
+    small = "/root/testdata/sf0.001"
+    docs = common.table(spark, small, "documents").select("doc_id", "text", "lang")
+    net = langid.train(*langid.sample(docs.where(common.id_bucket(F.col("doc_id"), 5) != 0)))
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.query(spark, small).collect()}
+    rows = docs.collect()
+    assert len(out) == len(rows)
+    for r in rows[::3]:
+        data = (r["text"] or "").encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert out[r["doc_id"]] == ("und", 0.0)
+            continue
+        total = np.zeros(len(net.languages))
+        for a in range(0, len(data), net.window):
+            part = data[a : a + net.window]
+            x = net.embed[list(part.ljust(net.window, b"\0"))]
+            best = np.full(net.kernel.shape[1], -np.inf)
+            for i in range(net.window - net.widest + 1):
+                best = np.maximum(best, x[i : i + net.widest].ravel() @ net.kernel)
+            logits = np.maximum(best + net.bias, 0) @ net.out + net.out_bias
+            total += len(part) * (logits - np.log(np.exp(logits).sum()))
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        p /= p.sum()
+        lang, score = out[r["doc_id"]]
+        assert abs(p[net.languages.index(lang)] - p.max()) < 1e-4 and abs(score - p.max()) < 1e-3
+
+
+def test_numbers_are_no_letters(spark):
+    net = langid.train(["ab", "cd"], ["x", "y"], langid.Config(epochs=1))
+    assert langid.predict(net, ["½ ² Ⅷ ① 12", "½ a"])[0][0] == "und"
+    assert langid.predict(net, ["½ a"])[0][0] != "und"
+    docs = spark.createDataFrame([(1, "½ ²", "x"), (2, "abc", "x")], "doc_id long, text string, lang string")
+    assert langid.sample(docs)[0] == ["abc"]
+
+
+def test_ties_go_to_the_first_language():
+    net = langid.train(["ab", "ab"], ["y", "x"], langid.Config(epochs=1))
+    net.out[:], net.out_bias[:] = 0, 0
+    assert langid.predict(net, ["ab"]) == (["x"], [0.5])
+
+
 def test_held_out_accuracy(spark):
     out = langid.query(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")

@@ -1,3 +1,4 @@
+import itertools
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -23,32 +24,26 @@ def test_run_against_plain_stages(spark):
     scorer = toxicity.Scorer(toxicity.fit(now(), labels))
     left = {i for i in left if scorer.score(rows[i]["text"])[0] < 0.7}
 
+    # all pairs of texts that share a band are compared, by the whole fingerprints; the least id of each group stays
     config = simhash.Similar()
-    sketches = {i: simhash.Sketches(config).of(rows[i]["text"]) for i in left}
-    near = lambda i, j: np.bitwise_count((sketches[i][1] ^ sketches[j][1]).view(np.uint64)).sum() <= config.bits()
-    # texts of equal sketches are one, then those that share a word fingerprint go if they are like the first that has it
-    first, by_word = {}, {}
-    for i in sorted(left):
-        if first.setdefault((sketches[i][0].tobytes(), sketches[i][1].tobytes()), i) == i:
-            for r, fp in enumerate(sketches[i][0].tolist()):
-                by_word.setdefault((r, fp), []).append(i)
-    copies = {i for same in by_word.values() for i in same[1:] if near(same[0], i)}
-    ids = sorted(set(first.values()) - copies)
-    parent = {i: i for i in ids}
+    make = simhash.Sketches(config)
+    sketches = {i: make.banded(rows[i]["text"] or "") for i in sorted(left)}
+    by_band = {}
+    for i, (bands, _) in sketches.items():
+        for r, key in enumerate(bands.tolist()):
+            by_band.setdefault((r, key), []).append(i)
+    parent = {i: i for i in left}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    words = np.array([sketches[i][0] for i in ids]).view(np.uint64)
-    for a, i in enumerate(ids):
-        for b in np.nonzero((np.bitwise_count(words[a + 1 :] ^ words[a]) <= 2).any(1))[0]:
-            j = ids[a + 1 + b]
-            if near(i, j):
-                u, v = sorted((root(i), root(j)))
-                parent[v] = u
-    left = {i for i in ids if parent[i] == i}
+    for i, j in {pair for same in by_band.values() for pair in itertools.combinations(same, 2)}:
+        if np.bitwise_count((sketches[i][1] ^ sketches[j][1]).view(np.uint64)).sum() <= config.bits():
+            u, v = sorted((root(i), root(j)))
+            parent[v] = u
+    left = {i for i in left if parent[i] == i}
 
     windows = set()
     for r in common.table(spark, SF, "benchmark").collect():

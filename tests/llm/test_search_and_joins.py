@@ -28,13 +28,28 @@ def test_topk_ties_odd_vectors_and_blocks(spark):
     rows += [(200 + i, [0.5] * 6) for i in range(60)]  # many ties
     rows += [(400, None), (401, [0.1, None, 0.2, 0.3, 0.4, 0.5]), (420, [float("nan")] * 6), (421, [float("inf")] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).withColumn("rank", F.lit("clash"))
-    for config in (topk.Config(k=7), topk.Config(k=7, queries=3, blocks=1, tile=10), topk.Config(k=500)):
+    for config in (topk.Config(k=7), topk.Config(k=7, queries=3, blocks=1, tile=10, query_tile=2), topk.Config(k=500), topk.Config(k=7, first=10, growth=3, sparse=1.0, blocks=3)):
         out = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, config).collect())
         assert out == plain_top(rows, config.k)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 40"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_only_entries_that_may_reach_the_floor_are_collected():
+    rng = np.random.default_rng(0)
+    x, q = np.floor(64 * rng.normal(0, 0.125, (400, 64))), np.floor(64 * rng.normal(0, 0.125, (30, 64)))
+    true = x @ q.T
+    floors = np.sort(true, axis=0)[-20]
+    cuts = topk._cuts(64, 4)
+    entries, sums = topk.collected(x, q, floors, cuts)
+    assert entries[true >= floors].all() and entries.mean() < 0.7
+    for sparse in (0.0, 1.0):
+        scores = topk.resolved(x, q, entries, sums, cuts[-1], sparse)
+        assert (scores[entries] == true[entries]).all() and np.isneginf(scores[~entries]).all()
+    assert topk.waves(100, topk.Config(first=10, growth=3)) == [(0.0, 0.1), (0.1, 0.3), (0.3, 0.9), (0.9, 1.0)]
+    assert topk.waves(5, topk.Config()) == [(0.0, 1.0)]
+
+
 def test_large_components_stay_exact():
     x = np.full((2, 4), 2.0**27 + 1)
     assert topk._product(x, x)[0, 0] == 4 * (2**27 + 1) ** 2

@@ -47,6 +47,15 @@ def test_names_of_classes_and_tags_mean_nothing(spark):
     assert got == {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
 
 
+def test_classes_that_differ_from_page_to_page(spark):
+    """Their elements are judged by their tags alone."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    odd = F.concat(F.lit('class="x'), F.hex(F.xxhash64("page_id")), F.lit('"'))
+    named = pages.withColumn("html", F.replace(F.replace("html", F.lit('class="ad"'), odd), F.lit("<article>"), F.concat(F.lit("<article "), odd, F.lit(">"))))
+    got = {r["page_id"]: r["text"] for r in styletree.extract(named).collect()}
+    assert got == {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
+
+
 class PlainTree(HTMLParser):
     """Nodes of well-formed pages, by their paths as text."""
 
@@ -105,9 +114,9 @@ def some_pages(rng, n):
 
 
 def path_key(path):
-    found = 0
+    found = 1
     for name in path.split("/")[1:]:
-        found = styletree.key(name, found)
+        found = styletree.key(name, found) | 1
     return found - (1 << 64) if found >> 63 else found
 
 
@@ -166,7 +175,7 @@ def test_copies_of_one_page_keep_their_article(spark):
 
 
 def whole(markup):
-    return styletree.text_of(styletree.Page(markup), lambda node: False)
+    return styletree.text_of(styletree.Page(markup), lambda node: None)
 
 
 @pytest.mark.parametrize(
