@@ -21,7 +21,7 @@ def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: those that share at least 0.8 of their five-word shingles, by their SimHash sketches."""
+    """One document of each group of near-duplicates stays: those that share at least 0.8 of their five-word shingles, by their SimHash fingerprints."""
     return simhash.keep_one_of_similar(docs)
 
 
@@ -42,7 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+    """Each stage's documents are written and read by the next; when that has written its own, they and all else that it wrote on the way are deleted."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with common.discarded(spark) as written:
+            docs = common.stored(stage(spark, docs, sf_dir))
+            mine = written.pop()
+        if before:
+            common.remove(spark, before)
+        before = mine
     return STAGES[-1][1](spark, docs, sf_dir)
