@@ -14,7 +14,7 @@ from spanforge.operators import fragments, layout, sets, stats
 from spanforge.plans import branchpoint, browser, content_levels, downstream, exports, longread, percentile, premrna, references, rna_content, supplied, unmapped
 from spanforge.plans.catalog import ORACLE_SQL, QUERIES, query
 from spanforge.plans.supplied import along, with_
-from spanforge.sources import tables
+from spanforge.sources import binary, tables
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -814,3 +814,42 @@ def q_reference_tables(spark, sf_dir):
     folder = tables.scratch(spark)
     tables.write_reference({"small": _small_rna(spark, sf_dir)}, folder)
     return tables.read_reference(spark, folder, "small", schemas.SMALL_NCRNA, ["snoRNA"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+_READS = "reads AS (SELECT event_id, 'r' || event_id || ' x' AS name, upper(event_type) || user_id AS sequence, lower(event_type) || user_id AS quality FROM events)"
+
+
+@query(f"WITH {_READS} SELECT name, sequence, quality, (SELECT count(*) FROM events) AS records FROM reads")
+def q_fastq_files(spark, sf_dir):
+    """Records of four lines, and their number, which needs no record's place."""
+    folder = tables.scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name, sequence, quality = F.concat(F.lit("@r"), F.col("event_id").cast("string"), F.lit(" x")), F.concat(F.upper("event_type"), F.col("user_id").cast("string")), F.concat(F.lower("event_type"), F.col("user_id").cast("string"))
+    events.select(F.concat_ws("\n", name, sequence, F.lit("+"), quality).alias("value")).write.text(f"{folder}/fastq")
+    binary.register(spark)
+    read = spark.read.format("fastq").load(f"{folder}/fastq/part-*")
+    return read.select("name", "sequence", "quality").withColumn("records", F.lit(binary.count_fastq(spark, f"{folder}/fastq")).cast("long"))
+
+
+@query(f"WITH {_READS} SELECT name, sequence || quality AS sequence FROM reads")
+def q_fasta_files(spark, sf_dir):
+    """Sequences that are written over two lines."""
+    folder = tables.scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    who = F.col("user_id").cast("string")
+    lines = F.concat_ws("\n", F.concat(F.lit(">r"), F.col("event_id").cast("string"), F.lit(" x")), F.concat(F.upper("event_type"), who), F.concat(F.lower("event_type"), who))
+    events.select(lines.alias("value")).write.text(f"{folder}/fasta")
+    binary.register(spark)
+    return spark.read.format("fasta").load(f"{folder}/fasta/part-*").select("name", "sequence")
+
+
+@query(_round(f"{_PROFILE}, stat AS ({_replicates('profile', 'condition, offset_nt', _PROFILE_VALUES)}) SELECT condition, offset_nt, mean_coverage_anchored_percent, ci95_coverage_anchored_percent FROM stat", "mean_coverage_anchored_percent", "ci95_coverage_anchored_percent"))
+def q_figure_table(spark, sf_dir):
+    """The columns that a figure shows."""
+    made = _aggregated(spark, sf_dir)
+    return _rounded(exports.figure(made.by_condition(made.metaprofile_by_sample()), "branchpoint_coverage"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (plot, panel, "a.pdf" if plot == "ils_dis_pie" else "", f"{name}.tsv", said)) + ")" for plot, panel, name, said in exports.MANIFEST) + ") AS t(plot_id, panel_or_view, plot_files, table_file, description)")
+def q_manifest(spark, sf_dir):
+    return exports.manifest(spark, {"ils_dis_pie": "a.pdf"}, {})
