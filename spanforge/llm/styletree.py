@@ -19,11 +19,12 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +35,6 @@ from . import common
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 UNFINISHED = re.compile("/?[a-zA-Z]")
 CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-SPACES = re.compile(r"\s+")
 SEGMENTS = re.compile(r"(?:[^\w\s,'’\-]|_)+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,7 +86,7 @@ def _signed(x: int) -> int:
 
 @dataclass
 class Block:
-    nodes: tuple[int, int]  # of the element that holds it: by tags and classes, by tags alone
+    nodes: tuple[int, int]  # of the element that holds it: by tags and classes, by tags alone; the same where its path has no class
     text: str
 
 
@@ -96,8 +96,8 @@ class Page:
     def __init__(self, markup: str):
         self.blocks: list[Block] = []
         self.styles: set[tuple[int, int]] = set()  # (node, style)
-        # open block elements: tag, node with classes, node without, style of each so far, last child of each
-        self.open: list[list] = [["", 1, 0, 0, 0, "", ""]]
+        # open block elements: tag, node with classes, node without, style of each so far, last child of each, whether its path has a class
+        self.open: list[list] = [["", 1, 0, 0, 0, "", "", False]]
         self.places: dict[str, list[int]] = {}  # of open tags in the list above
         self.silent = 0  # open elements without text
         self.buffer: list[str] = []
@@ -106,19 +106,21 @@ class Page:
 
     def _flush(self) -> None:
         if self.buffer:
-            text = SPACES.sub(" ", html.unescape("".join(self.buffer))).strip()
+            text = " ".join(html.unescape("".join(self.buffer)).split())
             self.buffer = []
             if text and not self.silent:
-                self.blocks.append(Block((self.open[-1][1], self.open[-1][2]), text))
+                _, named, plain, *_, classed = self.open[-1]
+                self.blocks.append(Block((named, plain if classed else named), text))
 
     def _pop_to(self, size: int) -> None:
         self._flush()
-        for tag, *nodes in reversed(self.open[size:]):
+        for tag, named, plain, style, plain_style, _, _, classed in reversed(self.open[size:]):
             if tag:
                 self.places[tag].pop()
             self.silent -= tag in NO_TEXT
-            self.styles.add((nodes[0], nodes[2]))
-            self.styles.add((nodes[1], nodes[3]))
+            self.styles.add((named, style))
+            if classed:
+                self.styles.add((plain, plain_style))
         del self.open[size:]
 
     def _nearest(self, tag: str) -> int:
@@ -127,10 +129,12 @@ class Page:
 
     def _close(self, tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
         """Ends open elements up to the outermost of the given tags above the nearest stop."""
-        stop = max(map(self._nearest, stops))
-        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, stop)) < len(p)]
-        if found:
-            self._pop_to(min(found))
+        open_ = [p for t in tags if (p := self.places.get(t))]
+        if open_:
+            stop = max(map(self._nearest, stops))
+            found = [p[i] for p in open_ if (i := bisect_right(p, stop)) < len(p)]
+            if found:
+                self._pop_to(min(found))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
@@ -160,7 +164,7 @@ class Page:
             above[4], above[6] = key(tag, above[4]), tag
         self.places.setdefault(tag, []).append(len(self.open))
         self.silent += tag in NO_TEXT
-        self.open.append([tag, _named(key(label, above[1])), _plain(key(tag, above[2])), 0, 0, "", ""])
+        self.open.append([tag, _named(key(label, above[1])), _plain(key(tag, above[2])), 0, 0, "", "", above[7] or label != tag])
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE and (at := self._nearest(tag)):
@@ -190,7 +194,7 @@ class Page:
 
 def segments(text: str) -> set[str]:
     """What stands between punctuation marks, in lower case."""
-    return {s for x in SEGMENTS.split(text) if (s := x.strip().lower())}
+    return {s for x in SEGMENTS.split(text.lower()) if (s := x.strip())}
 
 
 #: Kinds of observations: a style of a node, a segment of its text, and that it has text.
@@ -202,7 +206,7 @@ def observations(page: Page) -> set[tuple[int, int, int]]:
     found = {(node, STYLE, style) for node, style in page.styles}
     for b in page.blocks:
         parts = [key(s) for s in segments(b.text)]
-        for node in b.nodes:
+        for node in set(b.nodes):
             found.add((node, TEXT, 0))
             found.update((node, SEGMENT, p) for p in parts)
     return found
@@ -214,19 +218,25 @@ def nodes(pages: DataFrame, config: Config = Config(), url_column: str = "url",
     schema = pa.schema([("host", pa.int64()), ("node", pa.int64()), ("kind", pa.int32()), ("what", pa.int64()), ("n", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[int, Counter] = defaultdict(Counter)
+        held = 0
 
         def emit() -> pa.RecordBatch:
-            out = common.like(schema, [[_signed(x[0]) for x in seen], [_signed(x[1]) for x in seen], [x[2] for x in seen], [_signed(x[3]) for x in seen], list(seen.values())])
+            rows = [(host, *o, n) for host, of in seen.items() for o, n in of.items()]
             seen.clear()
-            return out
+            columns = list(zip(*rows)) or [()] * 5
+            arrays = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
+            return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
 
         for batch in batches:
             for url, markup in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
-                host = key(site(url))
-                seen.update((host, *o) for o in observations(Page(markup)))
-                if len(seen) > 200_000:
+                of = seen[key(site(url))]
+                before = len(of)
+                of.update(observations(Page(markup)))
+                held += len(of) - before
+                if held > 200_000:
                     yield emit()
+                    held = 0
         yield emit()
 
     parts = pages.select(F.col(url_column), F.col(html_column)).mapInArrow(apply, "host long, node long, kind int, what long, n long")
