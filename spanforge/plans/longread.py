@@ -1,13 +1,13 @@
 """Long reads about splice sites and branchpoints: coverage, deletions and the area of their peak.
 
-The two passes over the reads of a sample are two branches over one table; what stands between them, the introns covered in any sample, is a join.
+Reads are dealt once for each of two passes, by the bin that they begin in, and meet what lies near in that bin as arrays, so that no read needs a name and hits aren't gathered again by reads. The first pass finds the introns covered in any sample; the second leaves tallies, of which there are few, and equal reads add to one.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.config import EngineConfig
@@ -15,19 +15,17 @@ from spanforge.functions import cigar, coerce, orient
 from spanforge.operators import fragments, intervals, profiles
 
 KEYS = ["chrom", "strand"]
+#: Bins of the shortest reads; reads as long as a bin or longer have bins 4, 16 and so on times as wide.
+NEAR = 256
+COVER, HELD, DELETED, RUN = range(4)
 
 
 def reads(alignments: DataFrame, mapq_above: int) -> DataFrame:
-    """Mapped primary reads above a mapping quality; their end is one past the last base that M and D cover, and counts as if it were the last.
-
-    A read is named by hashes of what its record says, and equal records by their number, so that a rerun of a task gives the same names.
-    """
+    """Mapped primary reads above a mapping quality; their end is one past the last base that M and D cover, and counts as if it were the last. CIGARs are kept of reads with deletions."""
     a = alignments.where(~fragments.flag(fragments.NOT_PRIMARY) & ~fragments.flag(fragments.UNMAPPED) & (F.col("mapq") > mapq_above) & F.col("cigar").isNotNull())
     strand = F.when(fragments.flag(fragments.REVERSE), "-").otherwise("+")
-    said = ("sample", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "nh")
-    equal = Window.partitionBy(*said).orderBy(F.lit(1))
-    name = F.struct(F.xxhash64(*said).alias("a"), F.xxhash64(F.lit(1), *said).alias("b"), F.row_number().over(equal).alias("copy"))
-    return a.withColumn("read", name).select("sample", "read", F.col("rname").alias("chrom"), strand.alias("strand"), F.col("pos").alias("rs"), cigar.span_md(F.col("pos"), F.col("cigar")).alias("re"), "cigar")
+    deleted = F.when(F.col("cigar").contains("D"), F.col("cigar")).alias("cigar")
+    return a.select("sample", F.col("rname").alias("chrom"), strand.alias("strand"), F.col("pos").alias("rs"), cigar.span_md(F.col("pos"), F.col("cigar")).alias("re"), deleted)
 
 
 def top_branchpoints(introns: DataFrame, branchpoints: DataFrame) -> DataFrame:
@@ -49,15 +47,90 @@ class LongReads:
         self.reads = reads(alignments, config.mapq_above).persist()
         self.top = top_branchpoints(introns, branchpoints)
         self.single = single_introns(introns, self.top)
-        self.hits = intervals.point_join(branchpoints.select(*KEYS, "position", "ordinal"), self.reads.select("sample", "read", *KEYS, "rs", "re"), KEYS, "position", "rs", "re", config.bin_size)
-        self.n_hits = self.hits.groupBy("sample", "read").agg(F.count(F.lit(1)).alias("branchpoints"))
-        covered = self.reads.join(self.n_hits.select("sample", "read"), ["sample", "read"], "left_semi")
-        candidates = introns.join(self.single, "intron_id", "left_semi").select(*KEYS, "intron_id", "start", "end")
-        self.covered = intervals.containment_join(covered.select("sample", *KEYS, "rs", "re"), candidates, KEYS, ("rs", "re"), ("start", "end"), config.bin_size, config.intron_stretch).select("sample", "intron_id").distinct()
-        self.shared = introns.join(self.covered.select("intron_id").distinct(), "intron_id", "left_semi").select(*KEYS, "intron_id", "start", "end")
+        stretch = config.intron_stretch
+        self.candidates = introns.join(self.single, "intron_id", "left_semi").select(*KEYS, "intron_id", (F.col("start") - F.lit(stretch // 2)).alias("low"), (F.col("end") + F.lit(stretch - stretch // 2)).alias("high")).where("low <= high")
 
     def close(self) -> None:
         self.reads.unpersist()
+        for name in {"covered", "tallies"} & set(vars(self)):
+            getattr(self, name).unpersist()
+
+    @cached_property
+    def _placed(self) -> tuple[DataFrame, list[int]]:
+        """Reads with the size of their bins, which is above their reach, and the bin that they begin in; and the sizes that there are. No intron touches more than MOST_BINS of the smallest."""
+        widest = self.candidates.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0
+        least = max(NEAR, widest // intervals.MOST_BINS + 1)
+        reach = F.col("re") - F.col("rs")
+        size = F.coalesce(*[F.when(reach < least * 4**i, F.lit(least * 4**i).cast("long")) for i in range(24)])
+        placed = self.reads.withColumn("size", size).withColumn("bin", intervals.bin_of(F.col("rs"), F.col("size")))
+        return placed, sorted(r["size"] for r in placed.select("size").distinct().collect() if r["size"])
+
+    def _near(self, introns: DataFrame, margin: int) -> DataFrame:
+        """Reads with what lies near, where anything does: positions of branchpoints up to the margin away and of top ones, and introns."""
+        placed, sizes = self._placed
+        none = F.lit(None)
+        point = F.col("position").cast("long")
+        found = [
+            self.branchpoints.select(*KEYS, (point - margin).alias("low"), (point + margin).alias("high"), point.alias("point"), none.cast("long").alias("top"), none.cast("struct<low:bigint,high:bigint,intron_id:string>").alias("intron")),
+            self.top.select(*KEYS, point.alias("low"), point.alias("high"), none.cast("long").alias("point"), point.alias("top"), none.cast("struct<low:bigint,high:bigint,intron_id:string>").alias("intron")),
+            introns.select(*KEYS, F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), none.cast("long").alias("point"), none.cast("long").alias("top"), F.struct(F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.col("intron_id").cast("string").alias("intron_id")).alias("intron")),
+        ]
+        # A read that reaches one of them begins at most its bin's size before.
+        bins = F.sequence(intervals.bin_of(F.col("low") - F.col("size") + 1, F.col("size")), intervals.bin_of(F.col("high"), F.col("size")))
+        spread = reduce(DataFrame.unionByName, found).withColumn("size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes or [NEAR]]))).withColumn("bin", F.explode(bins))
+        lists = spread.groupBy(*KEYS, "size", "bin").agg(F.collect_list("point").alias("points"), F.collect_list("top").alias("tops"), F.collect_list("intron").alias("introns"))
+        return placed.join(lists, [*KEYS, "size", "bin"])
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        """(sample, intron_id) of introns that hold a read over a branchpoint."""
+        near = self._near(self.candidates, 0).where(F.exists("points", _over))
+        return near.select("sample", F.explode(F.transform(F.filter("introns", _holds), lambda i: i["intron_id"])).alias("intron_id")).distinct().persist()
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        return self.candidates.join(self.covered.select("intron_id").distinct(), "intron_id", "left_semi")
+
+    @cached_property
+    def tallies(self) -> DataFrame:
+        """(sample, kind, a, b, run, n), summed over reads, which hold `introns` shared introns and lie over `branchpoints`.
+
+        COVER: offsets a to b about top branchpoints, by introns. HELD: introns. DELETED: reads with deletions, a the branchpoints. RUN: a read's deletions near one branchpoint, offset and events of each.
+        """
+        h = self.config.long_branchpoint_half_width
+        near = self._near(self.shared, h)
+        near = near.withColumns({"branchpoints": F.size(F.filter("points", _over)).cast("long"), "held": F.size(F.filter("introns", _holds)).cast("long")})
+        # Deleted positions that lie in shared introns; events is the number of the read's branchpoints times that of the introns, by which each counts.
+        inside = lambda d: F.size(F.filter("introns", lambda i: (i["low"] <= d) & (i["high"] >= d))).cast("long") * F.col("branchpoints")
+        spots = F.transform(cigar.deletions_shifted(F.col("rs"), F.col("cigar")), lambda d: F.struct(d.alias("d"), inside(d).alias("events")))
+        nothing = F.expr("CAST(array() AS array<struct<d:bigint,events:bigint>>)")
+        near = near.withColumn("deleted", F.when((F.col("branchpoints") > 0) & F.col("cigar").isNotNull(), F.filter(spots, lambda x: x["events"] > 0)).otherwise(nothing))
+        no_run = F.expr("CAST(array() AS array<struct<o:int,events:bigint>>)")
+        entry = lambda kind, a, b, run, n: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), run.alias("run"), n.cast("long").alias("n"))
+
+        def cover(top: Column) -> Column:
+            a, b = orient.clip(F.col("rs"), F.col("re"), top - h, top + h)
+            return entry(COVER, *orient.range_offsets_symmetric_minus(a, b, top, F.col("strand")), no_run, F.col("held"))
+
+        def run(point: Column) -> Column:
+            some = F.filter("deleted", lambda x: F.abs(x["d"] - point) <= h)
+            return F.transform(some, lambda x: F.struct(orient.offset(x["d"], point, F.col("strand")).cast("int").alias("o"), x["events"].alias("events")))
+
+        zero = F.lit(0)
+        empty = F.expr("CAST(array() AS array<struct<kind:int,a:int,b:int,run:array<struct<o:int,events:bigint>>,n:bigint>>)")
+        deleted = F.size("deleted") > 0
+        runs = F.filter(F.transform("points", run), lambda x: F.size(x) > 0)
+        entries = F.concat(
+            F.when(F.col("held") > 0, F.transform(F.filter("tops", _over), cover)).otherwise(empty),
+            F.when(F.col("held") > 0, F.array(entry(HELD, zero, zero, no_run, F.col("held")))).otherwise(empty),
+            F.when(deleted, F.array(entry(DELETED, F.col("branchpoints"), zero, no_run, F.lit(1)))).otherwise(empty),
+            F.when(deleted, F.transform(runs, lambda x: entry(RUN, zero, zero, x, F.lit(1)))).otherwise(empty),
+        )
+        each = near.select("sample", F.explode(entries).alias("x")).select("sample", "x.*")
+        return each.groupBy("sample", "kind", "a", "b", "run").agg(F.sum("n").alias("n")).persist()
+
+    def _tallied(self, kind: int) -> DataFrame:
+        return self.tallies.where(F.col("kind") == kind)
 
     def three_prime_coverage(self) -> DataFrame:
         """(protein, strand_corrected_position, score, normalised_coverage) on [-h, h - 1] about splice sites."""
@@ -76,45 +149,20 @@ class LongReads:
 
     def branchpoint_coverage(self) -> DataFrame:
         """About top branchpoints, each read counted once for each shared intron that holds it; symmetric on the minus strand."""
-        c = self.config
-        h = c.long_branchpoint_half_width
-        held = self._held().groupBy("sample", "read").agg(F.count(F.lit(1)).alias("introns"))
-        inside = self.reads.join(held, ["sample", "read"]).select("sample", *KEYS, "rs", "re", "introns")
-        hits = intervals.point_join(self.top.select(*KEYS, "position"), inside, KEYS, "position", "rs", "re", c.bin_size)
-        a, b = orient.clip(F.col("rs"), F.col("re"), F.col("position") - h, F.col("position") + h)
-        first, last = orient.range_offsets_symmetric_minus(a, b, F.col("position"), F.col("strand"))
-        counts = profiles.range_coverage(hits, ["sample"], first, last, -h, h, F.col("introns"), "strand_corrected_position", "score")
-        return self._normalised(counts, -h, h)
-
-    def _held(self) -> DataFrame:
-        c = self.config
-        return intervals.containment_join(self.reads.select("sample", "read", *KEYS, "rs", "re"), self.shared, KEYS, ("rs", "re"), ("start", "end"), c.bin_size, c.intron_stretch)
-
-    def _deletions(self) -> DataFrame:
-        """Deleted positions of reads over a branchpoint that lie in shared introns; events is the number of the read's branchpoints times that of the introns, by which each counts."""
-        c = self.config
-        over = self.reads.join(self.n_hits, ["sample", "read"]).withColumn("d", F.explode(cigar.deletions_shifted(F.col("rs"), F.col("cigar")))).select("sample", "read", *KEYS, "d", "branchpoints")
-        spot = over.withColumn("d2", F.col("d"))
-        held = intervals.containment_join(spot, self.shared, KEYS, ("d", "d2"), ("start", "end"), c.bin_size, c.intron_stretch)
-        per = held.groupBy("sample", "read", *KEYS, "d", "branchpoints").agg(F.count(F.lit(1)).alias("introns"))
-        return per.withColumn("events", F.col("branchpoints") * F.col("introns"))
-
-    def _relative(self) -> DataFrame:
-        """Each deletion with each branchpoint near it."""
         h = self.config.long_branchpoint_half_width
-        near = self._deletions().withColumns({"lo": F.col("d") - h, "hi": F.col("d") + h})
-        pairs = intervals.point_join(self.branchpoints.select(*KEYS, "position", "ordinal"), near, KEYS, "position", "lo", "hi", self.config.bin_size)
-        return pairs.select("sample", "read", "ordinal", "events", orient.offset(F.col("d"), F.col("position"), F.col("strand")).cast("int").alias("strand_corrected_position"))
+        counts = profiles.range_coverage(self._tallied(COVER), ["sample"], F.col("a"), F.col("b"), -h, h, F.col("n"), "strand_corrected_position", "score")
+        return self._normalised(counts, -h, h)
 
     def deletion_profile(self) -> DataFrame:
         """Counts of deletions about branchpoints, raw and by runs, over reads and over coverage.
 
         A read's deletion counts as often as its events say, and a repeated position ends a run: with more than one event only the first and last of the repeats touch a neighbour. Repeats are weighed without being made.
         """
-        rows = self._relative().groupBy("sample", "read", "ordinal", "strand_corrected_position").agg(F.sum("events").alias("events"))
-        weighed = _run_weights(rows)
-        counts = weighed.groupBy("sample", "strand_corrected_position").agg(F.sum("events").alias("count"), F.sum("weight").alias("count_cons"))
-        denominator = self._deletions().groupBy("sample", "read").agg(F.max("branchpoints").alias("b")).groupBy("sample").agg(F.sum("b").alias("denominator"))
+        # Reads with the same run are weighed once.
+        runs = self._tallied(RUN).select("sample", F.struct("run", "n").alias("read"), F.lit(0).alias("ordinal"), F.explode("run").alias("x"))
+        weighed = _run_weights(runs.select("sample", "read", "ordinal", F.col("x.o").alias("strand_corrected_position"), F.col("x.events").alias("events")))
+        counts = weighed.groupBy("sample", "strand_corrected_position").agg(F.sum(F.col("events") * F.col("read.n")).alias("count"), F.sum(F.col("weight") * F.col("read.n")).alias("count_cons"))
+        denominator = self._tallied(DELETED).groupBy("sample").agg(F.sum(F.col("a") * F.col("n")).alias("denominator"))
         coverage = self.branchpoint_coverage().withColumnRenamed("protein", "sample")
         out = counts.join(F.broadcast(denominator), "sample").join(coverage, ["sample", "strand_corrected_position"])
         share = lambda x: coerce.ratio_or_null(F.col(x), F.col("denominator"))
@@ -131,18 +179,28 @@ class LongReads:
         one = lambda df, scope, metric: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(scope).alias("scope"), F.lit(metric).alias("metric"), "value")
         fixed = [one(self.introns, "reference", "introns"), one(self.branchpoints, "reference", "branchpoints"), one(self.top, "reference", "top_branchpoints"), one(self.single, "reference", "single_top_branchpoint_introns"), one(self.shared, "analysis", "union_covered_introns")]
         per = lambda df, metric, value: df.groupBy("sample").agg(value.alias("value")).select(F.col("sample").alias("scope"), F.lit(metric).alias("metric"), "value")
-        deleted = self._deletions().groupBy("sample", "read").agg(F.max("branchpoints").alias("b"))
+        events = F.aggregate("run", F.lit(0).cast("long"), lambda total, x: total + x["events"])
         mine = [
             per(self.reads, "filtered_primary_alignments", F.count(F.lit(1))),
             per(self.covered, "covered_candidate_introns", F.count(F.lit(1))),
-            per(self._held(), "high_coverage_read_hits", F.count(F.lit(1))),
-            per(deleted, "deletion_reads", F.count(F.lit(1))),
-            per(deleted, "deletion_normalisation_read_overlaps", F.sum("b")),
-            per(self._relative(), "metaprofile_deletion_rows", F.sum("events")),
+            per(self._tallied(HELD), "high_coverage_read_hits", F.sum("n")),
+            per(self._tallied(DELETED), "deletion_reads", F.sum("n")),
+            per(self._tallied(DELETED), "deletion_normalisation_read_overlaps", F.sum(F.col("a") * F.col("n"))),
+            per(self._tallied(RUN), "metaprofile_deletion_rows", F.sum(events * F.col("n"))),
         ]
         return reduce(DataFrame.unionByName, [*fixed, *mine])
 
 
+def _over(position: Column) -> Column:
+    """A read reaches the position."""
+    return (position >= F.col("rs")) & (position <= F.col("re"))
+
+
+def _holds(intron: Column) -> Column:
+    """The intron holds the read whole."""
+    return (intron["low"] <= F.col("rs")) & (intron["high"] >= F.col("re"))
+
+
 def _run_weights(rows: DataFrame) -> DataFrame:
     """rows with weight: the sum over a position's events of 1 / the length of the run that each is in.
 

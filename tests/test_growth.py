@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 from oracle import assert_same
-from paths import SF
-from spanforge.plans import catalog
+from paths import SF, SF_ORACLE
+from spanforge.plans import analyses, catalog
 
 COPIES = 30
 #: Shifts of keys that leave chromosomes and strands as they are.
@@ -42,3 +42,33 @@ def test_pairs_are_not_made(spark, grown, name):
     assert_same(df, catalog.ORACLE_SQL[name], grown)
     rows = joined(df._jdf.queryExecution().executedPlan())
     assert rows and max(rows) <= 2 * spark.read.parquet(f"{grown}/lineitem.parquet").count(), rows
+
+
+def shuffled(plan, seen: dict) -> int:
+    """Rows written by all shuffles of a plan that was run, cached ones too, each once."""
+    kind = plan.getClass().getSimpleName()
+    if plan.id() in seen:
+        return 0
+    seen[plan.id()] = kind
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan(), seen)
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan(), seen)
+    if kind == "InMemoryTableScanExec":
+        return shuffled(plan.relation().cachedPlan(), seen)
+    if kind == "ReusedExchangeExec":
+        return 0
+    children = plan.children()
+    below = sum(shuffled(children.apply(i), seen) for i in range(children.size()))
+    return below + (plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+
+@pytest.mark.parametrize("name", ["q_long_deletions", "q_long_area", "q_long_diagnostics"])
+def test_long_reads_are_dealt_once(spark, name):
+    spark.catalog.clearCache()
+    df = analyses.QUERIES[name](spark, SF_ORACLE)
+    assert_same(df, analyses.ORACLE_SQL[name], SF_ORACLE)
+    lines, orders = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    # reads meet small tables here, and never each other
+    assert shuffled(df._jdf.queryExecution().executedPlan(), {}) <= lines + orders
+    spark.catalog.clearCache()
