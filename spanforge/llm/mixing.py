@@ -6,13 +6,13 @@ Sampling compares a probability with a hash of the document's id, so that a reru
 
 Cells are fitted as arrays on the driver while there are few. A dimension of very many values, such as hosts as sources, is fitted where it lies: a fitted cell is its tokens times one factor for each of its values, so a table with one row a value, which holds its cells, finds its own factors from those of the other dimensions, and only sums by the other dimensions' values come back.
 
-Topics are clusters of texts: spherical k-means over hashed word counts, trained on a bounded sample.
+Topics are clusters of texts: spherical k-means over hashed word counts, trained on all texts, whose counts are stored once and read in each round.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,16 +37,13 @@ class Config:
     tolerance: float = 1e-9
     topics: int = 6
     buckets: int = 128  # of hashed words
-    topic_sample: int = 3000  # texts that topics are trained on, about
     cells: int = 500_000  # most combinations of values that are fitted on the driver; more are fitted in tables
     seed: int = 17
 
 
-def vector(text: str, buckets: int, cache: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Square roots of hashed word counts at length 1, and the number of words, of the whole text."""
+def counts(text: str, buckets: int, cache: dict[bytes, int]) -> np.ndarray:
+    """Hashed word counts of the whole text."""
     words = text.encode("utf-8", "replace").translate(WORDS).split()
-    if not words:
-        return np.zeros(buckets), 0
     if len(cache) > 300_000:
         cache.clear()
     get = cache.get
@@ -56,8 +53,17 @@ def vector(text: str, buckets: int, cache: dict[bytes, int]) -> tuple[np.ndarray
         if k is None:
             k = cache[w] = zlib.crc32(w) % buckets
         ids.append(k)
-    x = np.sqrt(np.bincount(ids, minlength=buckets))
-    return x / np.linalg.norm(x), len(words)
+    return np.bincount(np.array(ids, int), minlength=buckets)
+
+
+def vector(text: str, buckets: int, cache: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """Square roots of hashed word counts at length 1, and the number of words, of the whole text."""
+    found = counts(text, buckets, cache)
+    n = int(found.sum())
+    if not n:
+        return np.zeros(buckets), 0
+    x = np.sqrt(found)
+    return x / np.linalg.norm(x), n
 
 
 def train_topics(x: np.ndarray, config: Config = Config()) -> np.ndarray:
@@ -79,19 +85,76 @@ def train_topics(x: np.ndarray, config: Config = Config()) -> np.ndarray:
 
 
 def topics(docs: DataFrame, config: Config = Config()) -> np.ndarray:
-    """Trained on texts picked by a hash of the text, so that copies count once."""
-    common.prepare(docs.sparkSession)
-    n = docs.count()
-    out = pa.schema([("x", pa.list_(pa.float64()))])
+    """As train_topics() over every text with words. Word counts are stored; each round reads them, and only sums by centre come back. The rounds end when the centres stand."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    stored = pa.schema([("counts", pa.binary()), ("u", pa.float64())])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            yield common.like(out, [[vector(t, config.buckets, cache)[0].tolist() for t in common.texts(batch.column(0))]])
+            found = [(counts(t, config.buckets, cache), u) for t, u in zip(common.texts(batch.column(0)), batch.column(1).to_pylist())]
+            found = [(c.astype("<i4").tobytes(), u) for c, u in found if c.any()]
+            yield common.like(stored, [[c for c, _ in found], [u for _, u in found]])
+
+    number = F.shiftrightunsigned(F.xxhash64("text", F.lit(config.seed)), 11) / F.lit(float(1 << 53))
+    texts = common.stored(docs.where("text IS NOT NULL").select("text", number.alias("u")).mapInArrow(count, "counts binary, u double"))
+
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.sqrt(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, config.buckets))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    best = pa.schema([("score", pa.float64()), ("x", pa.list_(pa.float64()))])
+    sums = pa.schema([("k", pa.int32()), ("x", pa.list_(pa.float64()))])
 
-    some = common.hash_sample(docs.where(F.col("text").isNotNull()).select("text"), F.col("text"), config.seed, config.topic_sample / max(n, 1)).limit(2 * config.topic_sample)
-    x = np.array([r["x"] for r in some.mapInArrow(apply, "x array<double>").collect()]).reshape(-1, config.buckets)
-    return train_topics(x[np.lexsort(x.T)] if len(x) else x, config)
+    def furthest(c: np.ndarray) -> Callable:
+        """Of each part, the text that is furthest from the centres, by chance; without any, the first by chance."""
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = (-1.0, None)
+            for batch in batches:
+                if batch.num_rows:
+                    x, u = vectors(batch), np.array(batch.column(1).to_pylist())
+                    score = np.round(np.maximum(1 - np.max(x @ c.T, axis=1), 0), 9) * u if len(c) else u
+                    i = int(np.argmax(score))
+                    top = max(top, (float(score[i]), x[i].tolist()), key=lambda y: (y[0], y[1] or []))
+            if top[1]:
+                yield common.like(best, [[top[0]], [top[1]]])
+
+        return apply
+
+    def moved(c: np.ndarray) -> Callable:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros_like(c), np.zeros(len(c), int)
+            for batch in batches:
+                if batch.num_rows:
+                    x = vectors(batch)
+                    near = np.argmax(np.round(x @ c.T, 9), axis=1)
+                    for k in range(len(c)):
+                        total[k] += x[near == k].sum(0)
+                        n[k] += (near == k).sum()
+            yield common.like(sums, [np.flatnonzero(n).tolist(), total[n > 0].tolist()])
+
+        return apply
+
+    c = np.zeros((0, config.buckets))
+    while len(c) < config.topics:
+        found = texts.mapInArrow(furthest(c), "score double, x array<double>").collect()
+        top = max(found, key=lambda r: (r["score"], r["x"]), default=None)
+        if top is None or (len(c) and not top["score"] > 0):
+            break
+        c = np.vstack([c, top["x"]])
+    if not len(c):
+        return np.zeros((1, config.buckets))
+    for _ in range(30):
+        total = np.zeros_like(c)
+        for r in texts.mapInArrow(moved(c), "k int, x array<double>").collect():
+            total[r["k"]] += r["x"]
+        total = np.where(np.abs(total).sum(1, keepdims=True) > 0, total, c)
+        last, c = c, np.round(total / np.linalg.norm(total, axis=1, keepdims=True), 12)
+        if np.abs(c - last).max() < 1e-9:
+            break
+    return c
 
 
 def nearest(vectors: list[np.ndarray], centres: np.ndarray, config: Config) -> list[str]:

@@ -131,3 +131,14 @@ def test_odd_rows(spark):
     kept = mixing.sample(docs, mixing.Config(share=1.0, temper=1.0)).collect()
     assert Counter(r["doc_id"] for r in kept)[None] == 1 and sum(r["doc_id"] == 3 for r in kept) == 2
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.sample(docs.limit(0)).count() == 0
+
+
+def test_topics_are_trained_on_all_texts(spark):
+    """One text in a thousand is of another topic, which a sample of 3,000 of 6,000 need not meet, and each moves the centres."""
+    words = [f"plain{i % 40} words{i % 7}" for i in range(6000)]
+    of = lambda more: spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate([*words, *more])], "doc_id long, text string, source string, lang string")
+    config = mixing.Config(topics=2)
+    without = mixing.topics(of([]), config)
+    for i in range(6):
+        centres = mixing.topics(of([f"rare{i} thing{i} quite different" for _ in range(1)]), config)
+        assert centres.shape != without.shape or np.abs(centres - without).max() > 1e-6
