@@ -130,9 +130,9 @@ def topics(docs: DataFrame, config: Config = Config()) -> np.ndarray:
                 if batch.num_rows:
                     x = vectors(batch)
                     near = np.argmax(np.round(x @ c.T, 9), axis=1)
-                    for k in range(len(c)):
-                        total[k] += x[near == k].sum(0)
-                        n[k] += (near == k).sum()
+                    of = (near == np.arange(len(c))[:, None]).astype(float)
+                    total += of @ x
+                    n += of.sum(1).astype(int)
             yield common.like(sums, [np.flatnonzero(n).tolist(), total[n > 0].tolist()])
 
         return apply
@@ -148,7 +148,7 @@ def topics(docs: DataFrame, config: Config = Config()) -> np.ndarray:
         return np.zeros((1, config.buckets))
     for _ in range(30):
         total = np.zeros_like(c)
-        for r in texts.mapInArrow(moved(c), "k int, x array<double>").collect():
+        for r in texts.select("counts").mapInArrow(moved(c), "k int, x array<double>").collect():
             total[r["k"]] += r["x"]
         total = np.where(np.abs(total).sum(1, keepdims=True) > 0, total, c)
         last, c = c, np.round(total / np.linalg.norm(total, axis=1, keepdims=True), 12)
